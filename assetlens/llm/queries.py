@@ -47,9 +47,49 @@ SELECT doc_id, keep_id, CAST(c AS BIGINT) AS group_size, doc_id = keep_id AS kep
 """
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]', '', 'g')), 0) AS size
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM s),
+c AS (SELECT *, CAST(source_size AS DOUBLE) * 3 AS cap, CAST(source_size AS DOUBLE) * 3 / weight AS meets FROM w),
+l AS (
+  SELECT *, ((SELECT sum(CAST(source_size AS DOUBLE)) FROM s)
+      - coalesce((SELECT sum(b.cap) FROM c b WHERE (b.meets, b.source IS NULL, coalesce(b.source, '')) < (a.meets, a.source IS NULL, coalesce(a.source, ''))), 0))
+    / (SELECT sum(b.weight) FROM c b WHERE (b.meets, b.source IS NULL, coalesce(b.source, '')) >= (a.meets, a.source IS NULL, coalesce(a.source, ''))) AS level
+  FROM c a),
+t AS (
+  SELECT source, source_size, CASE WHEN meets <= f THEN cap ELSE weight * f END AS target,
+         CAST(('0x' || substr(sha256('7:' || coalesce('s' || source, 'null')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u
+  FROM l, (SELECT max(level) AS f FROM l)),
+p AS (
+  SELECT d.*, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
+         row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) - 1 AS pos
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, CAST(target AS DOUBLE) AS target,
+       CAST(least(floor((pos + 1) * rate + u) - floor(pos * rate + u), 3) * size AS BIGINT) AS taken
+FROM p
+"""
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .simple8b import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
