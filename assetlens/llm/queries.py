@@ -143,6 +143,22 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digest(repeats(table(spark, sf_dir, "documents")))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.to_json("matches").alias("matches"))
+
+
+def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents that labels calls good and not toxic. Returns every document; selected marks the draw."""
+    from .quality import resample
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id").distinct()
+    return resample(docs, docs.join(good, "doc_id", "left_semi"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
