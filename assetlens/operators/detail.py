@@ -49,10 +49,10 @@ def edges_of(edges: DataFrame) -> DataFrame:
 def evidence(tables: dict[str, DataFrame], row_ids: DataFrame) -> DataFrame:
     """Evidence of each row_id: of an asset, of an evidence row itself, or of what an observation or edge refers to."""
     refs = tables["evidence_ref"]
-    direct = row_ids.join(refs, row_ids.row_id == refs.asset_id).select("row_id", refs.id)
-    own = row_ids.join(refs, row_ids.row_id == refs.id).select("row_id", refs.id)
-    named = reduce(DataFrame.union, [tables[n].select("id", "evidence_id") for n in EVIDENCED])
-    through = row_ids.join(named, row_ids.row_id == named.id).select("row_id", F.col("evidence_id").alias("id"))
+    direct = row_ids.join(refs.select(F.col("asset_id").alias("row_id"), "id"), "row_id").select("row_id", "id")
+    own = row_ids.join(refs.select(F.col("id").alias("row_id")), "row_id", "left_semi").select("row_id", F.col("row_id").alias("id"))
+    named = reduce(DataFrame.union, [tables[n].select(F.col("id").alias("row_id"), F.col("evidence_id").alias("id")) for n in EVIDENCED])
+    through = row_ids.join(named, "row_id").select("row_id", "id")
     ids = direct.union(own).union(through).distinct()
     return ids.join(refs, "id").select("row_id", "id", "asset_id", "evidence_kind", "source", "pointer", "value_json")
 

@@ -165,19 +165,16 @@ def indexed_keys(keys: DataFrame) -> DataFrame:
     return k.withColumn("index", (F.row_number().over(W.orderBy("key")) - 1).cast("bigint"))
 
 
-def same_place(a: DataFrame, b: DataFrame) -> Column:
-    return (F.abs(a.latitude - b.latitude) < 1e-8) & (F.abs(a.longitude - b.longitude) < 1e-8) & (F.abs(a.accuracy - b.accuracy) < 0.1)
-
-
 def backfill_jobs(keys: DataFrame, outputs: DataFrame, attempts: DataFrame, attempt: int) -> DataFrame:
     """Keys without an output of the same place and with exactly attempt - 1 attempts so far.
 
     outputs: latitude, longitude, accuracy of complete results; attempts: key columns, one row each try.
     """
-    grid = lambda df, d: df.withColumn("_gx", F.round(df.latitude * 1e6).cast("bigint") + d)
-    near = reduce(DataFrame.unionByName, [grid(outputs, d) for d in (-1, 0, 1)])
-    k = grid(keys, 0)
-    todo = k.join(near, (k["_gx"] == near["_gx"]) & same_place(k, near), "left_anti").drop("_gx")
+    cell = lambda c: F.round(F.col(c) * 1e6).cast("bigint")
+    near = outputs.select(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.col("accuracy").alias("_acc"))
+    near = near.withColumn("_cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: cell("_lat") + d)))
+    same = (F.abs(F.col("latitude") - F.col("_lat")) < 1e-8) & (F.abs(F.col("longitude") - F.col("_lon")) < 1e-8) & (F.abs(F.col("accuracy") - F.col("_acc")) < 0.1)
+    todo = keys.join(near, (cell("latitude") == F.col("_cell")) & same, "left_anti")
     on = ["latitude", "longitude", "accuracy"]
     tried = attempts.groupBy(*on).agg(F.count("*").alias("tries"))
     j = todo.join(tried, on, "left").withColumn("tries", F.coalesce("tries", F.lit(0)))
