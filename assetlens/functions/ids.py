@@ -11,12 +11,10 @@ def as_column(part: Column | str | int) -> Column:
 
 
 def stable_id(kind: str, *parts: Column | str) -> Column:
-    """kind + ':' + 32 hex digits over the parts, joined by NUL. The kind itself is not hashed."""
+    """kind + ':' + 32 hex digits over the parts, each ended by NUL. The kind itself is not hashed."""
     pieces: list[Column] = []
     for p in parts:
-        if pieces:
-            pieces.append(F.char(F.lit(0)))
-        pieces.append(as_column(p).cast("string"))
+        pieces += [as_column(p).cast("string"), F.char(F.lit(0))]
     return F.concat(F.lit(kind.strip() + ":"), F.substring(F.sha2(F.concat(*pieces), 256), 1, 32))
 
 

@@ -6,7 +6,7 @@ SID = "'{kind}:' || substr(sha256({parts}), 1, 32)"
 
 
 def sid(kind: str, *parts: str) -> str:
-    return SID.format(kind=kind, parts=" || chr(0) || ".join(f"CAST({p} AS VARCHAR)" for p in parts))
+    return SID.format(kind=kind, parts=" || ".join(f"CAST({p} AS VARCHAR) || chr(0)" for p in parts))
 
 
 ASSET_ID = sid("asset", "'src'", "event_id")
