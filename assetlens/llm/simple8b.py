@@ -15,6 +15,7 @@ Every block decodes alone, all words of one selector at once.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, encoded, pieces, scratch
+from .common import Words, arrow_batches, encoded, pieces, scratch
 
 #: Fixed values of the coding: selector, ids per word, bits per id.
 SELECTORS = ((2, 60, 1), (3, 30, 2), (4, 20, 3), (5, 15, 4), (6, 12, 5), (7, 10, 6), (8, 8, 7), (9, 7, 8), (10, 6, 10), (11, 5, 12), (12, 4, 15), (13, 3, 20), (14, 2, 30), (15, 1, 60))
 #: Ids in a block at least, but for the last of a shard.
 BLOCK_IDS = 1 << 16
-CACHE, CACHE_LEN = 400_000, 48
+CACHE, LONGEST = 700_000, 64
+#: Last bytes of words that surely end in a letter or digit: ASCII, and the letters of U+00C0 to U+00FF.
+ALNUM = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+ACCENTED = {chr(i).encode() for i in range(0xC0, 0x100) if chr(i).isalpha()}
 
 BLOCKS = "shard int, block_start long, doc_ids array<long>, doc_lens array<int>, words binary, escape_at binary, escape_value binary"
 _loaded: dict[str, WordIds] = {}
@@ -46,14 +50,14 @@ def encode(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
         ids[far] = 0
     n = len(ids)
     padded = np.concatenate([ids, np.zeros(60, np.uint64)])
-    widths = np.zeros(n + 60, np.uint8)
-    for _, _, bits in SELECTORS:
-        widths += padded >= np.uint64(1 << (bits - 1)) if bits == 1 else padded >> np.uint64(prior) != 0  # noqa: F821
-        prior = bits  # rank of the narrowest selector that holds the id, counted from 1
+    # Rank of the narrowest selector that holds the id.
+    widths = np.searchsorted(np.array([1 << bits for _, _, bits in SELECTORS], np.uint64), padded, side="right").astype(np.uint8)
     best = np.full(n, len(SELECTORS) - 1, np.uint8)
     for k in range(len(SELECTORS) - 2, -1, -1):
-        count = SELECTORS[k][1]
-        over = np.concatenate([[0], np.cumsum(widths > k + 1, dtype=np.int32)])
+        count, wide = SELECTORS[k][1], widths > k
+        if np.count_nonzero(wide[:n]) == n and k < len(SELECTORS) - 2:
+            break  # no id is so narrow, so none is narrower
+        over = np.concatenate([[0], np.cumsum(wide, dtype=np.int32)])
         best[over[count : count + n] == over[:n]] = k
     steps = np.array([c for _, c, _ in SELECTORS])[best].tolist()
     at, i = [], 0
@@ -104,20 +108,54 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
-        if len(word) <= CACHE_LEN:
-            self[word] = out
-        return out
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode the words that are not known yet together."""
-        if len(self) > CACHE:
+    def learn(self, words: list[bytes]) -> None:
+        """Encode the words that are not known yet together; when there are too many, only those met again stay."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > CACHE:
+            again = [(w, self[w]) for w in words if w in self]
             self.clear()
-        new = [w for w in words if w not in self and len(w) <= CACHE_LEN]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+            self.update(again)
+        # Punctuation after a letter is a piece of its own: such words are put together from two known ones.
+        ends, alone = {}, set()
+        for w in new:
+            core = w.rstrip(b".,!?;:|")
+            if len(core) != len(w) and core and (core[-1] in ALNUM or core[-2:] in ACCENTED):
+                ends[w] = core
+                alone.update((core, w[len(core) :]))
+            else:
+                alone.add(w)
+        alone = [w for w in alone if w not in self]
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
+            self[w] = array("I", e.ids).tobytes()
+        self.update((w, self[c] + self[w[len(c) :]]) for w, c in ends.items())
+
+    def encode_texts(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, each with the end id behind it, and how many each has.
+
+        Words are told apart by hash in numpy; only a piece's distinct words go through the dictionary.
+        """
+        # The tokenizer lowers case, which is done here where no special token can stand in the text.
+        data = [d if b"<|" in d else d.lower() for d in encoded(texts)]
+        words = Words(data)
+        _, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
+        distinct = [words.data[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
+        self.learn(distinct)
+        found = [self[w] for w in distinct]
+        for w in [w for w in distinct if len(w) > LONGEST]:
+            del self[w]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool = np.frombuffer(b"".join(found), "<u4")
+        begin = np.cumsum(sizes) - sizes
+        of_word = sizes[which]
+        so_far = np.concatenate([[0], np.cumsum(of_word)])
+        flat = pool[np.repeat(begin[which] - so_far[:-1], of_word) + np.arange(so_far[-1])]
+        lens = np.diff(so_far[words.first])
+        out = np.full(len(flat) + len(texts), end, "<u4")
+        last = np.cumsum(lens + 1) - 1
+        mask = np.ones(len(out), bool)
+        mask[last] = False
+        out[mask] = flat
+        return out, lens + 1
 
 
 def word_ids(path: str) -> WordIds:
@@ -134,7 +172,6 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, text
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    end = np.array([end_id], "<u4").tobytes()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, seen = TaskContext.get().partitionId(), 0
@@ -142,7 +179,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, text
         keys, lens, parts, size = [], [], [], 0
 
         def block():
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.concatenate(parts)
             row = [[shard], [seen], [keys], [lens], *([x] for x in encode(ids))]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names)
 
@@ -150,14 +187,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, text
         types = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
         rows = ((k, t) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         for piece in pieces(rows, 1):
-            split = [t.split() for t in encoded([t for _, t in piece])]
-            known.learn(set().union(*split))
-            for (k, _), found in zip(piece, split, strict=True):
-                ids = b"".join(map(known.__getitem__, found)) + end
+            ids, counts = known.encode_texts([t for _, t in piece], end_id)
+            at = 0
+            for (k, _), n in zip(piece, counts.tolist(), strict=True):
                 keys.append(k)
-                lens.append(len(ids) // 4)
-                parts.append(ids)
-                size += len(ids) // 4
+                lens.append(n)
+                parts.append(ids[at : at + n])
+                at += n
+                size += n
                 if size >= BLOCK_IDS:
                     yield block()
                     seen += size
