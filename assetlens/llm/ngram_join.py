@@ -9,7 +9,8 @@ are verified on the sets themselves.
 
 Documents with the same set are one class, so copies never meet as pairs. A lane that many classes share gives a star
 around its least class, then around others; only classes of that lane which are then still in different components,
-and which may have no rarer lane in common, are compared pair by pair.
+and which may have no rarer lane in common, are compared pair by pair. That gives the components. Links lie inside
+components only, so those with classes of large lanes then have all their pairs counted, block by block.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ PIVOT_ROUNDS = 2
 LANES = 60
 #: Keys of a bucket, about; the number of buckets follows from the size of the input.
 BUCKET_KEYS = 400_000
+#: Classes and hashes of a block, about, in which the links of a component are counted.
+BLOCK, BLOCK_HASHES = 512, 500_000
 #: Fewest and most bits of a parity sketch.
 SKETCH_BITS = 512, 32768
 
@@ -121,8 +124,8 @@ def parity_sketch(h: np.ndarray) -> np.ndarray:
 
 
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, n_shingles, n_copies (documents of the same set), n_links (other classes it links to
-    among the verified pairs) and component_id, the smallest doc_id that links reach, itself included.
+    """One row per document: doc_id, n_shingles, n_copies (documents of the same set), n_links (all other classes it links
+    to) and component_id, the smallest doc_id that links reach, itself included.
 
     Two documents link when 100 * intersection >= percent * union of their sets. Documents without words, or with a
     null text, have an empty set and link with nothing. Rows that repeat a key are members like any other. A null key
@@ -234,10 +237,10 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "
         """The pairs (u, v) of classes whose sets link: those that sizes and sketches allow, by their contents."""
         near = store(_near(pairs, reps, percent), "near-pairs")
         held = store(sets_of(near.select(F.col("u").alias("cls")).union(near.select("v")).distinct()), "contents")
-        return _verify(near, held, percent)
+        return _verify(near, held, percent).distinct()  # rows that repeat a key can give contents twice
 
     found = store(links(met.where("v IS NOT NULL").select("u", "v").distinct()), "links")
-    of_class = reps.select("cls", "rep")
+    group, crowded = components(found), None
     # Large lanes. Partners that have met in no small lane share more than `spare` large ones; so of the large lanes in
     # order of size, it is enough to look at all but the last `spare` (prefix filter), and the most common fall away.
     # Two lanes of a class may share a key, hence the margin.
@@ -249,8 +252,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "
         sized = sized.withColumn("nth", F.row_number().over(of_class_band.orderBy("n", "gid"))).withColumn("n_large", F.count("*").over(of_class_band))
         prefix = store(sized.where("nth <= n_large - spare + 3").select("gid", "cls"), "large-lanes")
         for salt in [*range(PIVOT_ROUNDS), None]:
-            first = components(found)
-            where = prefix.join(first, F.col("cls") == F.col("node"), "left").select("gid", "cls", F.coalesce("component", "cls").alias("component"))
+            where = prefix.join(group, F.col("cls") == F.col("node"), "left").select("gid", "cls", F.coalesce("component", "cls").alias("component"))
             pick = F.min_by(F.struct("cls", "component"), F.xxhash64("cls", "gid", F.lit(salt if salt is not None else 0)))
             open_ = where.groupBy("gid").agg(F.min("component").alias("a"), F.max("component").alias("b"), pick.alias("pivot")).where("a <> b")
             open_ = store(open_.select("gid", "pivot"), "open-lanes")
@@ -265,12 +267,19 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "
                 pairs = left.alias("a").join(left.alias("b"), other)
                 more = pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"))
             found = store(found.union(links(more.distinct())).distinct(), "links")
-    a, b = of_class.select(F.col("cls").alias("u"), F.col("rep").alias("ru")), of_class.select(F.col("cls").alias("v"), F.col("rep").alias("rv"))
-    by_rep = found.join(a, "u").join(b, "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-    group = components(by_rep)
+            group = components(found)
+        # Every pair that has not met yet shares a lane of prefix, and a component.
+        crowded = group.join(prefix.select("cls").distinct(), F.col("node") == F.col("cls")).groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    group = group.select(F.col("node").alias("cls"), "component")
     degree = found.union(found.select("v", "u")).groupBy(F.col("u").alias("cls")).agg(F.count("*").alias("n_links"))
-    named = reps.join(group, reps.rep == group.node, "left").join(degree, "cls", "left")
-    named = named.select("cls", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    if crowded is not None:
+        crowd = store(group.join(crowded, "component", "left_semi"), "crowd")
+        counted = _count_links(crowd.join(reps.select("cls", "size"), "cls"), sets_of(crowd.select("cls")), percent)
+        degree = degree.join(crowd, "cls", "left_anti").union(counted)
+    of_component = reps.select("cls", "rep").join(group, "cls")
+    least = of_component.groupBy("component").agg(F.min("rep").alias("least"))
+    named = reps.join(of_component.join(least, "component").select("cls", "least"), "cls", "left").join(degree, "cls", "left")
+    named = named.select("cls", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     alone = described.where("cls IS NULL").select("doc_id", "n_shingles", F.lit(1).cast("long"), F.lit(0).cast("long"), "doc_id")
     grouped = described.where("cls IS NOT NULL").join(named, "cls")
     return grouped.select("doc_id", "n_shingles", "n_copies", F.col("n_links").cast("long").alias("n_links"), "component_id").union(alone)
@@ -308,6 +317,57 @@ def _verify(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(check, "u long, v long")
 
 
+def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets on the right (columns) each one on the left (rows) links to; no set is empty."""
+    _, ids = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    sizes = np.array([len(h) for h in [*left, *right]])
+    end = np.cumsum(sizes)
+    split = end[len(left) - 1]
+    theirs, begin, n = ids[split:], end[len(left) :] - sizes[len(left) :] - split, sizes[len(left) :]
+    out, mark = np.zeros((len(left), len(right)), bool), np.zeros(ids.max() + 1, np.int32)
+    for i in range(len(left)):
+        mine = ids[end[i] - sizes[i] : end[i]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[theirs], begin)
+        mark[mine] = 0
+        out[i] = 100 * both >= percent * (sizes[i] + n - both)
+    return out
+
+
+def _count_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members (cls, component, size), sets (cls, hashes) -> (cls, n_links): the links of each class inside its component.
+
+    A component is dealt into blocks by hash; each two of its blocks meet once, so a pair of classes is looked at once.
+    Components of one block share their groups with others.
+    """
+    total = members.agg(F.sum("size")).first()[0] or 0
+    n_shared = max(8, int(total / BLOCK_HASHES))
+    blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_HASHES)).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    dealt = dealt.join(sets, "cls").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a, b = F.least("block", "other"), F.greatest("block", "other")
+    shared = F.pmod(F.xxhash64("component"), F.lit(n_shared))
+    dealt = dealt.select(F.when(F.col("blocks") == 1, shared).otherwise(F.xxhash64("component", a, b)).alias("meeting"), "component", a.alias("a"), b.alias("b"), "block", "cls", "hashes")
+
+    def count(meeting: pa.Table) -> pa.Table:
+        groups: dict[tuple, dict[int, dict[int, np.ndarray]]] = {}
+        for r in meeting.to_pylist():
+            groups.setdefault((r["component"], r["a"], r["b"]), {}).setdefault(r["block"], {})[r["cls"]] = np.frombuffer(r["hashes"], np.uint64)
+        cls, n = [], []
+        for (_, a, b), held in groups.items():
+            if a not in held or b not in held:
+                continue
+            found = linked(list(held[a].values()), list(held[b].values()), percent)
+            cls += held[a]
+            n += (found.sum(1) - (a == b)).tolist()  # a set links to itself
+            if a != b:
+                cls += held[b]
+                n += found.sum(0).tolist()
+        return pa.table({"cls": pa.array(cls, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    return dealt.groupBy("meeting").applyInArrow(count, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n_links"))
+
+
 def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
     """docs with the document of the smallest key of each component; a row that repeats its key goes too.
 

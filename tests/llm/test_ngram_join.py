@@ -64,6 +64,22 @@ def test_against_brute_force(spark, seed, hot):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    from assetlens.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(6)
+    base = rng.choices([f"w{i}" for i in range(300)], k=200)
+    family = [" ".join([*base[:p], f"v{p}", *base[p + 1 :]]) for p in range(0, 200, 4)]
+    rows = corpus(2, 30, 60)
+    rows += [(len(rows) + i, t) for i, t in enumerate([*family, family[0]])]
+    sets = {k: frozenset(shingles(t)) for k, t in rows}
+    want = {k: sum(bool(s) and s != o and 100 * len(s & o) >= 80 * len(s | o) for o in set(sets.values())) for k, s in sets.items()}
+    got = {r.doc_id: r.n_links for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and max(want.values()) >= 49
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = corpus(3, 40, 15)
     docs = spark.createDataFrame([*rows, rows[5]], "doc_id long, text string")
