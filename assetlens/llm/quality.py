@@ -50,11 +50,10 @@ def log_shares(rows: list) -> np.ndarray:
     return np.log(n / n.sum())
 
 
-def importance(docs: DataFrame, target: DataFrame, text: str = "text") -> DataFrame:
-    """docs with log_weight: log of target likelihood over raw likelihood, per feature.
+def importance(docs: DataFrame, target: DataFrame, text: str = "text", per_feature: bool = True) -> DataFrame:
+    """docs with log_weight: log of target likelihood over raw likelihood of the text, or its mean per feature.
 
     The raw model counts all of docs, the target model all of target. A text without words has weight 0 (ratio 1).
-    The mean over features keeps long and short texts comparable.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -67,7 +66,7 @@ def importance(docs: DataFrame, target: DataFrame, text: str = "text") -> DataFr
             out = []
             for piece in pieces(zip(batch), 0):
                 owner, bucket = features([t for (t,) in piece])
-                n = np.bincount(owner, minlength=len(piece))
+                n = np.bincount(owner, minlength=len(piece)) if per_feature else 1
                 out.append(np.bincount(owner, held.value[bucket], len(piece)) / np.maximum(n, 1))
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
@@ -78,13 +77,13 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 0.5, scale: floa
     """One row per document: doc_id, log_weight, rank (1 is first drawn) and selected: rank is within share of all rows.
 
     The draw is Gumbel top-k: noise from a hash of the key and the seed, so that reruns agree; scale multiplies the
-    log weight. Null texts and texts without words have log weight 0; rows that repeat a key share their noise; an
+    log weight, which is that of the whole text: the sum over all its features. Null texts and texts without words have log weight 0; rows that repeat a key share their noise; an
     empty target gives every text its weight against a flat model. Ranks come from one distributed sort: places
     within a partition, plus the sizes of those before.
     """
     spark = docs.sparkSession
     u = (F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
-    rows = importance(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), target.select(F.col(text).alias("text")))
+    rows = importance(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), target.select(F.col(text).alias("text")), per_feature=False)
     rows = store(rows.select("doc_id", "log_weight", (F.col("log_weight") * scale - F.log(-F.log(u))).alias("draw")), "weights")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, F.desc("draw"), "doc_id").sortWithinPartitions(F.desc("draw"), "doc_id", "log_weight")

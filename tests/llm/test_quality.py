@@ -41,6 +41,19 @@ def test_draw_favours_the_target_and_repeats(spark):
     assert {r.doc_id for r in again if r.selected} == taken
 
 
+def test_the_draw_of_the_query_weighs_whole_texts(spark):
+    rng = random.Random(4)
+    words = "clear river stone morning quiet letter".split()
+    # Both kinds share their words and differ in how often they use them.
+    rows = [(i, " ".join(rng.choices(words, [3, 3, 3, 2, 2, 2] if i % 2 else [2, 2, 2, 3, 3, 3], k=400))) for i in range(300)]
+    docs, target = docs_of(spark, rows), docs_of(spark, [r for r in rows if r[0] % 2][:60])
+    got = resample(docs, target).collect()
+    mean = {r.doc_id: r.log_weight for r in importance(docs, target).collect()}
+    assert all(abs(r.log_weight - mean[r.doc_id] * 799) < 1e-6 for r in got)
+    taken = [r.doc_id for r in got if r.selected]
+    assert sum(k % 2 for k in taken) > 0.9 * len(taken)
+
+
 def test_odd_rows(spark):
     docs = docs_of(spark, [(1, None), (2, ""), (3, "x " * 30000), (3, "y"), (None, "z")])
     got = {r.doc_id: r.log_weight for r in resample(docs, docs.where("false")).collect()}
