@@ -369,13 +369,14 @@ def _count_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
-    """docs with the document of the smallest key of each component; a row that repeats its key goes too.
+    """docs with one row of each component: that of the smallest key, null keys last, then of the smallest text hash.
 
-    Rows of null key count as repeats of one document, which stays if it is alone in its group.
+    Rows are told apart by a stored number, so each row without a key stays if it links with no other. Of the rows with
+    the same key that would stay, one does.
     """
-    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    kept = similar_groups(docs, n, percent, key=key).where("doc_id <=> component_id")
-    kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")).distinct()
-    first = W.partitionBy("_key").orderBy(F.col("text").asc_nulls_last())
-    stay = docs.withColumn("_key", name).join(kept, "_key", "left_semi")
-    return stay.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth", "_key")
+    docs = store(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    member = similar_groups(docs, n, percent, key="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    named = docs.select("_row", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64("text").alias("hash"), "_row").alias("_first"))
+    stay = member.join(named, "_row").groupBy("_group").agg(F.min("_first").alias("_first")).select("_first.*")
+    stay = stay.groupBy("key", F.when(F.col("none"), F.col("_row")).alias("of_null")).agg(F.min(F.struct("hash", "_row")).alias("_first")).select("_first._row")
+    return docs.join(stay, "_row", "left_semi").drop("_row")

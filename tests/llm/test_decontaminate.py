@@ -55,3 +55,11 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r) for r in contamination(docs, none).collect()] == [(1, 3, 0, [], False)]
     assert contamination(docs.where("false"), none).count() == 0
+
+
+def test_clean_rows_of_null_and_repeated_keys_stay(spark):
+    item = "a benchmark item of exactly ten words to look for"
+    clean = [(None, "clean"), (None, None), (7, "clean too"), (8, "and this")]
+    docs = spark.createDataFrame([*clean, (None, f"x {item}"), (7, f"{item} y")], "doc_id long, text string")
+    left = decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(map(tuple, left), key=str) == sorted(clean, key=str)

@@ -87,6 +87,13 @@ def test_one_document_of_each_group_stays(spark):
     assert out == sorted({c for _, _, c in brute(rows)})
 
 
+def test_clean_rows_of_null_keys_stay(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    stay = [(1, text), (None, "alone without a key"), (None, "and one more without")]
+    docs = spark.createDataFrame([(None, text + " x"), (2, text + " y"), *stay, (3, text)], "doc_id long, text string")
+    assert sorted(map(tuple, one_of_each_group(docs).collect()), key=str) == sorted(stay, key=str)
+
+
 def test_empty_table(spark):
     assert similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
