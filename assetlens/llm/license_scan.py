@@ -72,7 +72,8 @@ class Index:
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int, int]]:
         """(template, coverage, matched words, words, first character, end character) of every match, in order of place.
 
-        Regions of one template that overlap are one match, the better one.
+        Regions of one template that overlap are one match, the better one. Of different templates that overlap the
+        one with more matched words stays, or the higher coverage; equals all stay, as the text doesn't tell them apart.
         """
         if not text:
             return []
@@ -101,7 +102,28 @@ class Index:
                     else:
                         best.append((matched, first, last))
             out += [(name, m / len(template), m, len(template), found[a][1], found[b][2]) for m, a, b in best]
-        return sorted(out, key=lambda x: (x[4], -x[1], x[0]))
+        return sorted(best_of_overlaps(out), key=lambda x: (x[4], -x[1], x[0]))
+
+
+def best_of_overlaps(matches: list[tuple]) -> list[tuple]:
+    """The matches that overlap no better one that stays."""
+    out, chain, end = [], [], 0
+
+    def settle() -> None:
+        kept = []
+        for m in sorted(chain, key=lambda m: (-m[2], -m[1], m[4])):
+            if not any(k[4] < m[5] and m[4] < k[5] and (k[2], k[1]) > (m[2], m[1]) for k in kept):
+                kept.append(m)
+        out.extend(kept)
+        chain.clear()
+
+    for m in sorted(matches, key=lambda m: m[4]):
+        if chain and m[4] >= end:
+            settle()
+        end = max(end, m[5]) if chain else m[5]
+        chain.append(m)
+    settle()
+    return out
 
 
 def hash_of(run: tuple[str, ...]) -> int:

@@ -28,6 +28,14 @@ def test_changed_copies_and_repeats():
     assert ("GPL-3.0", 11, 12) in got and got.count(("MIT", 5, 5)) >= 1
 
 
+def test_the_better_of_overlapping_templates_stays():
+    index = Index(TEMPLATES)
+    for name in ("CC-BY-NC-4.0", "CC-BY-4.0", "CC-BY-SA-4.0"):
+        assert [m[:2] for m in index.scan(f"Before. {TEMPLATES[name]} After.")] == [(name, 1.0)]
+    both = index.scan("Licensed under CC BY-NC 4.0. Licensed under CC BY 4.0. Released under the MIT License.")
+    assert [m[0] for m in both] == ["CC-BY-NC-4.0", "CC-BY-4.0", "MIT"]
+
+
 def test_alignment_is_the_longest_common_subsequence_within_the_band():
     a = "a b c d e f g h".split()
     for b in ("a b c d e f g h", "a x b c d e f g h", "a c d e f g h", "x x", "a b c x y e f h"):
