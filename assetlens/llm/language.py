@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches
 
-#: Bounds of the training sample: rows, characters taken at one random place of each row, and languages.
-SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 4000, 1000, 200
+#: Bounds of the training sample: rows (or one for each language, if those are more), and characters of each row.
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 1000
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (1, 2, 3, 4)
 EPOCHS, LEAST_STEPS, RATE, BATCH = 4, 300, 8.0, 64
 #: Share of rightly predicted calibration rows that rejection may cost, and the highest threshold.
@@ -166,22 +166,22 @@ def fold(key: str = "doc_id"):
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> LanguageModel:
     """Fit from labelled rows outside the held-out fold.
 
-    At most `rows` rows, spread over the languages (the LANGUAGES most frequent), with `chars` characters from a random
-    place of each. The rows are those with the smallest hashes of their keys, so that reruns agree.
+    At most `rows` rows, spread over all languages (one row each, if those are more), with `chars` characters from a
+    random place of each. The rows are those with the smallest hashes of their keys, so that reruns agree.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(key) != 0))
-    counts = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()  # one row per language
     if not counts:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
     each = max(1, rows // len(counts))
     u = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30))
-    share = F.lit(-1.0)
-    for r in counts:  # half as many again as wanted, for chance
-        share = F.when(F.col(lang) == r.lang, F.lit(float(1 << 30) * min(1.0, 1.5 * each / r.n))).otherwise(share)
+    wanted = 1.5 * each + 10  # more than each, for chance
+    shares = docs.sparkSession.createDataFrame([(r.lang, float(1 << 30) * min(1.0, wanted / r.n)) for r in counts], "_lang string, _share double")
     room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
     span = F.substring(F.col(text), (F.pmod(u, room) + 1).cast("int"), F.lit(chars))
-    sample = labelled.where(u < share).select(F.col(lang).alias("lang"), span.alias("text"), u.alias("u"), F.col(key).alias("k"))
-    got = sample.orderBy("u", "k", "lang", "text").limit(2 * rows).collect()
+    drawn = labelled.join(F.broadcast(shares), F.col(lang) == F.col("_lang")).where(u < F.col("_share"))
+    sample = drawn.select(F.col(lang).alias("lang"), span.alias("text"), u.alias("u"), F.col(key).alias("k"), (u / F.col("_share")).alias("nth"))
+    got = sample.orderBy("nth", "u", "k", "lang", "text").limit(2 * int(wanted * len(counts))).collect()
     by: dict[str, list[str]] = {}
     for r in got:
         by.setdefault(r.lang, []).append(r.text)
@@ -198,7 +198,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    held = spark.sparkContext.broadcast(model)  # a table of fixed rows and at most LANGUAGES columns
+    held = spark.sparkContext.broadcast(model)  # a table of fixed rows and a column per language
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -47,3 +47,13 @@ def test_empty_tables(spark):
     assert isinstance(m, LanguageModel) and m.labels == [] and identify(docs, m).count() == 0
     unlabelled = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert identify(unlabelled, fit(unlabelled)).collect()[0].lang_pred == "und"
+
+
+def test_every_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for i in range(220):  # each language has words of its own; the later ones are the rarer ones
+        a, b = letters[i % 26], letters[i // 26]
+        rows += [(1000 * i + j, f"{a}{b}{a} {b}{b}{a}{a} {a}{b}{b}{a}{b}", f"l{i:03}") for j in range(12 if i < 200 else 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert fit(docs).labels == sorted({r[2] for r in rows})
