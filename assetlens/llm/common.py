@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -10,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space, as the bytes that separate words.
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
-M64 = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_GRAM = 0xD1342543DE82EF95 | 1
-_GRAM_INV = pow(_GRAM, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: Odd multipliers of the hashes below.
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0xA24BAED4963EE407)
+#: The low 0 to 8 bytes of a number.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes from which a word is hashed alone, by BLAKE2b.
+LONG_WORD = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,17 +46,6 @@ def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64, n of them at least; kept for the next call."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = _powers[base] = np.multiply.accumulate(have)
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -63,36 +53,88 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs: for either part given, different other parts give different hashes."""
+    x = a * _A
+    x += b
+    x ^= x >> np.uint64(29)
+    x *= _B
+    x ^= x >> np.uint64(32)
+    return x
+
+
 class Words:
-    """The words of some texts: hash, start and end byte in buf, text number; first[i] is the first word of text i."""
+    """The words of some texts: hash, start and end byte in buf, text number; first[i] is the first word of text i.
+
+    A word is hashed eight bytes at a time, each step a multiplication and a shift; a long one by BLAKE2b. So no
+    pattern of repeated letters makes different words collide, as in hashes that are sums of powers.
+    """
 
     def __init__(self, texts: list[bytes], lower: bool = False):
-        data = b"\n".join([*texts, b""])
-        buf = np.frombuffer(data, np.uint8)
-        self.data = data
+        self.data = b"\n".join([*texts, b" " * 8])
+        buf = np.frombuffer(self.data, np.uint8)
         if lower:
             buf = buf + ((buf >= 65) & (buf <= 90)).astype(np.uint8) * np.uint8(32)
+        self.buf = buf
         inside = (buf != 32) & ((buf < 9) | (buf > 13))
-        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if len(inside) and inside[0]:
+            edge = np.concatenate([[0], edge])
         self.start, self.end = edge[::2], edge[1::2]
-        run = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(buf)), out=run[1:])
-        size = (self.end - self.start).astype(np.uint64)
-        self.hash = mix((run[self.end] - run[self.start]) * powers(_BASE_INV, len(buf) + 1)[self.start] + size * np.uint64(0xA24BAED4963EE407))
+        self.hash = self._hashes()
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         begins = np.concatenate([[0], np.cumsum(sizes)])
         self.first = np.searchsorted(self.start, begins)  # of every text, and the number of all words
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
+    def _eights(self, some: np.ndarray | slice, step: int) -> np.ndarray:
+        """Bytes step to step + 7 of some of the words, as one number each; zeros beyond the end."""
+        at = np.ndarray((max(0, len(self.buf) - 7),), "<u8", self.buf, strides=(1,))
+        start = self.start[some]
+        return at[start + step] & _MASK[np.minimum(self.end[some] - start - step, 8)]
+
+    def _hashes(self) -> np.ndarray:
+        size = self.end - self.start
+        h = join(size.astype(np.uint64) * _C, self._eights(slice(None), 0))
+        more, step = np.flatnonzero(size > 8), 8
+        while len(more) and step < LONG_WORD:
+            h[more] = join(h[more], self._eights(more, step))
+            step += 8
+            more = more[size[more] > step]
+        for i in more.tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.buf[self.start[i] : self.end[i]], digest_size=8).digest(), "little")
+        return mix(h)
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the words a and b (numbers of words of equal hash) are not equal byte by byte."""
+        size = self.end[a] - self.start[a]
+        out = size != self.end[b] - self.start[b]
+        more, step = np.flatnonzero(~out), 0
+        while len(more) and step < LONG_WORD:
+            out[more] = self._eights(a[more], step) != self._eights(b[more], step)
+            step += 8
+            more = more[size[more] > step]
+        for i in more.tolist():
+            x, y = (self.buf[self.start[k[i]] : self.end[k[i]]] for k in (a, b))
+            out[i] |= not np.array_equal(x, y)
+        return out
+
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions at which n words of one text start, and the hashes of those n words."""
-        h, count = self.hash, len(self.hash)
+        """Positions at which n words of one text start, and the hashes of those n words: joined in halves."""
+        count = len(self.hash)
         if count < n:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.text[: count - n + 1] == self.text[n - 1 :])
-        run = np.zeros(count + 1, np.uint64)
-        np.cumsum(h * powers(_GRAM, count), out=run[1:])
-        return at, mix((run[at + n] - run[at]) * powers(_GRAM_INV, count + 1)[at])
+        runs = {1: self.hash}
+        size = 1
+        while 2 * size <= n:
+            runs[2 * size] = join(runs[size][:-size], runs[size][size:])
+            size *= 2
+        out, have = runs[size], size
+        while have < n:
+            size = 1 << (n - have).bit_length() - 1
+            out, have = join(out[: len(out) - size], runs[size][have:]), have + size
+        return at, mix(out[at])
 
 
 def encoded(texts: list[str | None]) -> list[bytes]:
