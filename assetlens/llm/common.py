@@ -41,6 +41,14 @@ def store(df: DataFrame, name: str, *bucket: object) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the Arrow batches that go to Python workers, so that long texts can't fill one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
