@@ -58,8 +58,9 @@ def terms(text: Column) -> Column:
 
 
 def cut(text: Column, most: int) -> Column:
-    """White space collapsed, then at most so many characters, trimmed. Counts characters, not bytes."""
-    return trim_white(F.substring(collapse_white(text), 1, most))
+    """White space collapsed, then at most so many bytes of UTF-8, trimmed; a character that the cut would split goes."""
+    data = F.encode(collapse_white(text), "UTF-8")
+    return trim_white(F.coalesce(*[F.try_validate_utf8(F.substring(data, 1, n).cast("string")) for n in range(most, most - 4, -1)]))
 
 
 def key(text: Column) -> Column:

@@ -262,7 +262,7 @@ def value_texts(values: pd.Series) -> pd.Series:
         if isinstance(v, dict):
             named = next((v[k] for k in ("name", "label", "text", "value", "candidate") if isinstance(v.get(k), str)), None)
             v = json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False) if named is None else named
-        t = " ".join(v.split())[:TEXT_LIMIT].strip()
+        t = " ".join(v.split()).encode()[:TEXT_LIMIT].decode(errors="ignore").strip()
         return [t] if t else []
 
     def texts(raw):

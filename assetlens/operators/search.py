@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -67,11 +66,9 @@ def phrase_hits(tokens: Column, phrase: list[str]) -> Column:
     """How often the phrase occurs in consecutive places."""
     if not phrase:
         return F.lit(0)
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)))
-    want = F.array(*[F.lit(w) for w in phrase])
-    return F.size(F.filter(starts, lambda i: F.slice(tokens, i, len(phrase)) == want))
+    # Tokens hold no spaces, so one pass of a pattern over the joined text finds the starts, overlapping ones too.
+    first, rest = re.escape(phrase[0]), "".join(f" {re.escape(w)}" for w in phrase[1:])
+    return F.regexp_count(F.array_join(tokens, " "), F.lit(f"(?<![^ ]){first}(?={rest}(?![^ ]))"))
 
 
 def postings(docs: DataFrame, columns: Sequence[str], id_: str = "id") -> DataFrame:
@@ -115,11 +112,17 @@ def snippet(body: Column, query: str, words: int = SNIPPET) -> Column:
     if not marks:
         return F.array_join(F.slice(tokens, 1, words), " ")
     fold = lambda x: F.translate(F.lower(x), T.FOLD_FROM, T.FOLD_TO)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - words + 1, F.lit(1)))
-    windows = F.transform(starts, lambda i: F.struct(F.regexp_count(fold(F.array_join(F.slice(tokens, i, words), " ")), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{marks})(?![\p{{L}}\p{{N}}])")).alias("n"), (-i).alias("i")))
-    at = -F.array_max(windows)["i"]
-    piece = F.regexp_replace(F.array_join(F.slice(tokens, at, words), " "), rf"(?iu)(?<![\p{{L}}\p{{N}}])({marks})(?![\p{{L}}\p{{N}}])", "[$1]")
-    return F.concat(F.when(at > 1, " ... ").otherwise(""), piece, F.when(at + words <= F.size(tokens), " ... ").otherwise(""))
+
+    def best(t: Column) -> Column:
+        """Of an array of words: the piece, bound once so that no window makes it anew."""
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - words + 1, F.lit(1)))
+        count = lambda i: F.regexp_count(fold(F.array_join(F.slice(t, i, words), " ")), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{marks})(?![\p{{L}}\p{{N}}])"))
+        at = -F.array_max(F.transform(starts, lambda i: F.struct(count(i).alias("n"), (-i).alias("i"))))["i"]
+        return F.struct(F.array_join(F.slice(t, at, words), " ").alias("piece"), (at > 1).alias("before"), (at + words <= F.size(t)).alias("after"))
+
+    found = F.transform(F.array(tokens), best)[0]
+    piece = F.regexp_replace(found["piece"], rf"(?iu)(?<![\p{{L}}\p{{N}}])({marks})(?![\p{{L}}\p{{N}}])", "[$1]")
+    return F.concat(F.when(found["before"], " ... ").otherwise(""), piece, F.when(found["after"], " ... ").otherwise(""))
 
 
 def search(tables: dict[str, DataFrame], query: str, limit: int = LIMIT) -> DataFrame:
@@ -132,8 +135,3 @@ def search(tables: dict[str, DataFrame], query: str, limit: int = LIMIT) -> Data
     seen = bm25(observation_documents(tables["visual_observation"], tables["model_observation"]), query, ("title", "body")).join(a, "asset_id")
     second = seen.select(F.lit(1).alias("pass"), "rank", "asset_id", F.lit("observation").alias("hit_type"), F.col("id").alias("observation_id"), "media_type", "creation_date", "title", snippet(F.col("body"), query).alias("snippet"))
     return first.unionByName(second).orderBy("pass", "rank", "asset_id", "observation_id").limit(limit)
-
-
-def plain(text: str) -> str:
-    """NFC text, as queries and documents are compared."""
-    return unicodedata.normalize("NFC", text)

@@ -254,9 +254,9 @@ def poi_topk(v: Views) -> DataFrame:
     return place.nearest_candidates(rows, "key").select("key", "name", "rank")
 
 
-@query("normalized_key", "SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 200)), '[^\\p{L}\\p{Nd}]+', ' ', 'g')) AS key FROM documents")
+@query("normalized_key", "SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]+', ' ', 'g')) AS key FROM documents")
 def normalized_key(v: Views) -> DataFrame:
-    return v.raw("documents").select("doc_id", T.key(F.substring("text", 1, 200)).alias("key"))
+    return v.raw("documents").select("doc_id", T.key(F.col("text")).alias("key"))
 
 
 def _case_sql(value: str, rules: tuple, words_first: bool = False) -> str:

@@ -165,22 +165,25 @@ def keyword_flags(v: Views) -> DataFrame:
 
 # Model payloads
 
-_PAYLOAD = """SELECT conv_id, turn, 'Sure: {"scene_summary": ' || to_json(substr(text, 1, 60)) || ', "cluster_terms": [' || to_json(role) || ', "keys: a", ' || to_json(role) || '], "people_presence": null} done' AS response,
-  substr(text, 1, 60) AS scene, role FROM conversations"""
+_PAYLOAD = """SELECT conv_id, turn, 'Sure: {"scene_summary": ' || to_json(text) || ', "cluster_terms": [' || to_json(role) || ', "keys: a", ' || to_json(role) || '], "people_presence": null} done' AS response,
+  text AS scene, role FROM conversations"""
+
+
+#: The longest part of t within 500 bytes that splits no character.
+CUT_SQL = "trim(CASE WHEN strlen({t}) <= 500 THEN {t} ELSE substr({t}, 1, list_max(list_filter(range(125, 501), lambda n: strlen(substr({t}, 1, n)) <= 500))) END)"
 
 
 def _payload(v: Views) -> DataFrame:
     js = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
     c = v.raw("conversations")
-    scene = F.substring("text", 1, 60)
-    text = F.concat(F.lit('Sure: {"scene_summary": '), js(scene), F.lit(', "cluster_terms": ['), js(F.col("role")), F.lit(', "keys: a", '), js(F.col("role")), F.lit('], "people_presence": null} done'))
+    text = F.concat(F.lit('Sure: {"scene_summary": '), js(F.col("text")), F.lit(', "cluster_terms": ['), js(F.col("role")), F.lit(', "keys: a", '), js(F.col("role")), F.lit('], "people_presence": null} done'))
     return c.select("conv_id", "turn", text.alias("response"))
 
 
 @query(
     "model_payload",
     f"""WITH p AS ({_PAYLOAD})
-SELECT DISTINCT * FROM (SELECT conv_id, turn, 'scene_summary' AS observation_type, trim(regexp_replace(scene, '\\s+', ' ', 'g')) AS value_text, 0.65::DOUBLE AS confidence, 'scene' AS term_type FROM p
+SELECT DISTINCT * FROM (SELECT conv_id, turn, 'scene_summary' AS observation_type, {CUT_SQL.format(t="trim(regexp_replace(scene, '[[:space:]]+', ' ', 'g'))")} AS value_text, 0.65::DOUBLE AS confidence, 'scene' AS term_type FROM p
 UNION ALL SELECT conv_id, turn, 'cluster_feature', x, 0.55, 'cluster_feature' FROM (SELECT conv_id, turn, unnest([role, 'keys: a']) AS x FROM p)
 UNION ALL SELECT conv_id, turn, 'quality_issue', 'model_prompt_leakage', 1.0, 'quality_issue' FROM p) WHERE value_text <> ''""",
 )
