@@ -79,7 +79,7 @@ class Words:
     """
 
     def __init__(self, texts: list[bytes], lower: bool = False):
-        self.data = b"\n".join([*texts, b" " * 8])
+        self.data = b"\n".join([*texts, b" " * 16])
         buf = np.frombuffer(self.data, np.uint8)
         if lower:
             buf = buf + ((buf >= 65) & (buf <= 90)).astype(np.uint8) * np.uint8(32)
@@ -95,18 +95,18 @@ class Words:
         self.first = np.searchsorted(self.start, begins)  # of every text, and the number of all words
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
-    def _eights(self, some: np.ndarray | slice, step: int) -> np.ndarray:
+    def eights(self, some: np.ndarray | slice, step: int) -> np.ndarray:
         """Bytes step to step + 7 of some of the words, as one number each; zeros beyond the end."""
         at = np.ndarray((max(0, len(self.buf) - 7),), "<u8", self.buf, strides=(1,))
         start = self.start[some]
-        return at[start + step] & _MASK[np.minimum(self.end[some] - start - step, 8)]
+        return at[start + step] & _MASK[np.clip(self.end[some] - start - step, 0, 8)]
 
     def _hashes(self) -> np.ndarray:
         size = self.end - self.start
-        h = join(size.astype(np.uint64) * _C, self._eights(slice(None), 0))
+        h = join(size.astype(np.uint64) * _C, self.eights(slice(None), 0))
         more, step = np.flatnonzero(size > 8), 8
         while len(more) and step < LONG_WORD:
-            h[more] = join(h[more], self._eights(more, step))
+            h[more] = join(h[more], self.eights(more, step))
             step += 8
             more = more[size[more] > step]
         for i in more.tolist():
@@ -119,7 +119,7 @@ class Words:
         out = size != self.end[b] - self.start[b]
         more, step = np.flatnonzero(~out), 0
         while len(more) and step < LONG_WORD:
-            out[more] = self._eights(a[more], step) != self._eights(b[more], step)
+            out[more] = self.eights(a[more], step) != self.eights(b[more], step)
             step += 8
             more = more[size[more] > step]
         for i in more.tolist():

@@ -14,6 +14,8 @@ Every block decodes alone, all words of one selector at once.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,7 +33,8 @@ from .common import Words, arrow_batches, encoded, pieces, scratch
 SELECTORS = ((2, 60, 1), (3, 30, 2), (4, 20, 3), (5, 15, 4), (6, 12, 5), (7, 10, 6), (8, 8, 7), (9, 7, 8), (10, 6, 10), (11, 5, 12), (12, 4, 15), (13, 3, 20), (14, 2, 30), (15, 1, 60))
 #: Ids in a block at least, but for the last of a shard.
 BLOCK_IDS = 1 << 16
-CACHE, LONGEST = 700_000, 64
+#: Words kept by a Python worker.
+CACHE = 1_500_000
 #: Last bytes of words that surely end in a letter or digit: ASCII, and the letters of U+00C0 to U+00FF.
 ALNUM = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 ACCENTED = {chr(i).encode() for i in range(0xC0, 0x100) if chr(i).isalpha()}
@@ -99,63 +102,133 @@ def decode(words: bytes, n: int, escape_at: bytes = b"", escape_value: bytes = b
     return out
 
 
-class WordIds(dict):
-    """Ids (little-endian 32-bit) by word. The tokenizer drops white space, so the words of a text are encoded alone."""
+#: How a tokenizer has to treat text, so that the words between white space can be encoded alone.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+class WordIds:
+    """Ids of words by word. Words of up to 16 bytes are kept in arrays in order of their hash: the bytes themselves,
+    and where in `pool` their ids stand. A word is known only if its bytes agree."""
 
     def __init__(self, tokenizer_path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-
-    def learn(self, words: list[bytes]) -> None:
-        """Encode the words that are not known yet together; when there are too many, only those met again stay."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE:
-            again = [(w, self[w]) for w in words if w in self]
-            self.clear()
-            self.update(again)
-        # Punctuation after a letter is a piece of its own: such words are put together from two known ones.
-        ends, alone = {}, set()
-        for w in new:
+        made = json.loads(self.tokenizer.to_str())
+        added = [t["content"] for t in made["added_tokens"]]
+        splits = made["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+        #: Whether words can be encoded alone; texts are encoded whole by any other tokenizer.
+        self.by_word = made["normalizer"] == NORMALIZER and splits and made["post_processor"] is None and not any(t.split() != [t] or not t.startswith("<|") for t in added)
+        self.forget()
+
+    def forget(self) -> None:
+        self.hash, self.low, self.high, self.size, self.begin, self.count = (np.zeros(0, k) for k in ("u8", "u8", "u8", "i8", "i8", "i8"))
+        self.pool = np.zeros(0, "<u4")
+
+    def find(self, words: Words, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of these words in the arrays, and whether they are there."""
+        h = words.hash[some]
+        if not len(self.hash):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        same = (self.hash[at] == h) & (self.size[at] == words.end[some] - words.start[some])
+        return at, same & (self.low[at] == words.eights(some, 0)) & (self.high[at] == words.eights(some, 8))
+
+    def keep(self, words: Words, some: np.ndarray, ids: list[bytes]) -> None:
+        """Add words that are not known, but for long ones and those whose hash is taken."""
+        size = words.end[some] - words.start[some]
+        at = np.minimum(np.searchsorted(self.hash, words.hash[some]), max(0, len(self.hash) - 1))
+        free = size <= 16 if not len(self.hash) else (size <= 16) & (self.hash[at] != words.hash[some])
+        mine = np.flatnonzero(free)
+        some = some[mine]
+        count = np.fromiter((len(ids[i]) // 4 for i in mine), np.int64, len(mine))
+        begin = len(self.pool) + np.cumsum(count) - count
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids[i] for i in mine), "<u4")])
+        new = words.hash[some], words.eights(some, 0), words.eights(some, 8), size[mine], begin, count
+        both = [np.concatenate(x) for x in zip((self.hash, self.low, self.high, self.size, self.begin, self.count), new, strict=True)]
+        order = np.argsort(both[0], kind="stable")
+        self.hash, self.low, self.high, self.size, self.begin, self.count = (x[order] for x in both)
+
+    def encoded_alone(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of different words: known ones, and by the tokenizer."""
+        if not parts:
+            return []
+        words, every = Words([b" ".join(parts)]), np.arange(len(parts))
+        at, known = self.find(words, every)
+        begin, end = self.begin[at[known]], self.begin[at[known]] + self.count[at[known]]
+        out: list[bytes] = [b""] * len(parts)
+        for i, a, b in zip(every[known].tolist(), begin.tolist(), end.tolist(), strict=True):
+            out[i] = self.pool[a:b].tobytes()
+        new = every[~known]
+        for i, e in zip(new.tolist(), self.tokenizer.encode_batch_fast([parts[i].decode() for i in new], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        self.keep(words, new, [out[i] for i in new])
+        return out
+
+    def learn(self, some: list[bytes]) -> list[bytes]:
+        """Ids of different words that are not known. Punctuation after a letter or digit is a piece of its own, so such
+        words are put together from two."""
+        alone: dict[bytes, int] = {}
+        made = []
+        for w in some:
             core = w.rstrip(b".,!?;:|")
             if len(core) != len(w) and core and (core[-1] in ALNUM or core[-2:] in ACCENTED):
-                ends[w] = core
-                alone.update((core, w[len(core) :]))
+                made.append((alone.setdefault(core, len(alone)), alone.setdefault(w[len(core) :], len(alone))))
             else:
-                alone.add(w)
-        alone = [w for w in alone if w not in self]
-        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False), strict=True):
-            self[w] = array("I", e.ids).tobytes()
-        self.update((w, self[c] + self[w[len(c) :]]) for w, c in ends.items())
+                made.append((alone.setdefault(w, len(alone)), -1))
+        ids = [*self.encoded_alone(list(alone)), b""]
+        return [ids[a] + ids[b] for a, b in made]
 
     def encode_texts(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, each with the end id behind it, and how many each has.
+        """The ids of all texts one after another, each with the end id behind it, and how many each has."""
+        if self.by_word:
+            flat, lens = self.by_words(texts)
+        else:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            flat, lens = np.array([i for x in ids for i in x], "<u4"), np.array([len(x) for x in ids], np.int64)
+        out = np.full(len(flat) + len(texts), end, "<u4")
+        mask = np.ones(len(out), bool)
+        mask[np.cumsum(lens + 1) - 1] = False
+        out[mask] = flat
+        return out, lens + 1
 
-        Words are told apart by hash in numpy; only a piece's distinct words go through the dictionary.
-        """
+    def by_words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Each different word is looked up once; equal hashes count as equal words only if the bytes agree."""
         # The tokenizer lowers case, which is done here where no special token can stand in the text.
         data = [d if b"<|" in d else d.lower() for d in encoded(texts)]
         words = Words(data)
         _, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
-        distinct = [words.data[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
-        self.learn(distinct)
-        found = [self[w] for w in distinct]
-        for w in [w for w in distinct if len(w) > LONGEST]:
-            del self[w]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        pool = np.frombuffer(b"".join(found), "<u4")
-        begin = np.cumsum(sizes) - sizes
+        if words.differ(np.arange(len(which)), first[which]).any():
+            number: dict[bytes, int] = {}
+            spelled = [words.data[a:b] for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)]
+            which = np.array([number.setdefault(w, len(number)) for w in spelled])
+            first = np.unique(which, return_index=True)[1]
+        at, known = self.find(words, first)
+        new = first[~known]
+        ids = self.learn([words.data[a:b] for a, b in zip(words.start[new].tolist(), words.end[new].tolist(), strict=True)])
+        if len(new):  # learn() has moved what was known
+            at, still = self.find(words, first)
+            known &= still
+        sizes = np.zeros(len(first), np.int64)
+        sizes[known] = self.count[at[known]]
+        sizes[~known] = [len(x) // 4 for x in ids]
+        begin = np.zeros(len(first), np.int64)
+        begin[known] = self.begin[at[known]]
+        begin[~known] = len(self.pool) + np.cumsum(sizes[~known]) - sizes[~known]
+        pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
         of_word = sizes[which]
         so_far = np.concatenate([[0], np.cumsum(of_word)])
         flat = pool[np.repeat(begin[which] - so_far[:-1], of_word) + np.arange(so_far[-1])]
-        lens = np.diff(so_far[words.first])
-        out = np.full(len(flat) + len(texts), end, "<u4")
-        last = np.cumsum(lens + 1) - 1
-        mask = np.ones(len(out), bool)
-        mask[last] = False
-        out[mask] = flat
-        return out, lens + 1
+        if len(self.hash) + len(new) > CACHE:  # only words met just now stay
+            kept = [pool[a : a + n].tobytes() for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
+            self.forget()
+            self.keep(words, first, kept)
+        else:
+            self.keep(words, new, ids)
+        return flat, np.diff(so_far[words.first])
 
 
 def word_ids(path: str) -> WordIds:

@@ -50,3 +50,48 @@ def test_empty_repeated_and_null_keys(spark):
     assert encode_documents(spark.createDataFrame([], schema), PATH, 2).count() == 0
     got = sorted(encode_documents(spark.createDataFrame([(5, "b"), (5, "a"), (None, "a b")], schema), PATH, 2).collect(), key=lambda r: r.start)
     assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(None, 0, 3), (5, 3, 2), (5, 5, 2)]
+
+
+def thue_morse(n):
+    """Two words of n letters that any hash which is a sum of powers modulo 2**64 takes for one, from 1,024 letters on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_one_polynomial_hash_keep_their_own_ids():
+    from tokenizers import Tokenizer
+
+    from assetlens.llm.simple8b import WordIds
+
+    t, known = Tokenizer.from_file(PATH), WordIds(PATH)
+    texts = [w for n in (1024, 2048, 8192) for w in thue_morse(n)]
+    ids, n = known.encode_texts(texts, 2)
+    assert ids.tolist() == [i for x in texts for i in [*t.encode(x, add_special_tokens=False).ids, 2]] and known.by_word
+
+
+def test_equal_hashes_are_told_apart_by_their_bytes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from assetlens.llm import simple8b
+    from assetlens.llm.common import Words
+
+    monkeypatch.setattr(Words, "_hashes", lambda self: (self.end - self.start).astype(np.uint64) % np.uint64(3))
+    monkeypatch.setattr(simple8b, "CACHE", 9)
+    t, known = Tokenizer.from_file(PATH), simple8b.WordIds(PATH)
+    for texts in (["one two six, ten!", None], ["ten six two one", "a bb ccc dddd. " + "e" * 70 + " " + "f" * 70], ["six"]):
+        ids, _ = known.encode_texts(texts, 2)
+        assert ids.tolist() == [i for x in texts for i in [*t.encode(x or "", add_special_tokens=False).ids, 2]]
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer
+
+    from assetlens.llm.simple8b import WordIds
+
+    made = Tokenizer.from_file(PATH)
+    made.normalizer = None
+    path = str(tmp_path / "t.json")
+    made.save(path)
+    known = WordIds(path)
+    ids, n = known.encode_texts(["Hello  World", None], 2)
+    assert not known.by_word and n.tolist()[1] == 1 and ids.tolist() == [*made.encode("Hello  World", add_special_tokens=False).ids, 2, 2]
