@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..functions.scratch import scratch
 from .classify import live
 
 CANDIDATES, FEATURES, POIS = 12, 2, 4
@@ -194,11 +195,9 @@ def run_rounds(keys: DataFrame, provider: Callable[[Iterator[pd.DataFrame]], Ite
     provider maps (latitude, longitude, accuracy) to also (result, error) as mapInPandas does, at most `workers` at a
     time. wait(seconds) stands between the rounds.
     """
-    from uuid import uuid4
-
     on = ["latitude", "longitude", "accuracy"]
     spark = keys.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/backfill-{uuid4().hex}"
+    base = scratch(spark, "backfill")
     schema = "latitude double, longitude double, accuracy double, result string, error string"
     done = spark.createDataFrame([], schema + ", attempt int")
     for n in range(1, rounds + 1):

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.crawl import crawl
 from ..schemas import SNAPSHOT
-from ..store import ArchiveError, Store
+from ..store import ArchiveError, ConflictError, Store
 
 
-def ingest_folder(spark: SparkSession, folder: str, store: Store, library_path: str, checkpoint: str, provider: str = "json"):
+def ingest_folder(spark: SparkSession, folder: str, store: Store, library_path: str, checkpoint: str, provider: str = "json", refused: str | None = None):
     """Start a query that merges every new snapshot document and stops when all are in.
 
     Ids are deterministic and the first tombstone wins, so a batch that is replayed after a failure changes nothing.
-    A snapshot that arrives late overwrites live columns, as it does in batch.
+    A snapshot that arrives late overwrites live columns, as it does in batch. A snapshot that the archive refuses fails
+    the query; with a folder `refused`, it is recorded there as JSON instead and the others are merged.
     """
 
     def merge_batch(batch: DataFrame, number: int) -> None:
@@ -24,8 +25,11 @@ def ingest_folder(spark: SparkSession, folder: str, store: Store, library_path:
             now = datetime.now(timezone.utc)
             try:
                 crawl(store, one, library_path, provider, now, now)
-            except ArchiveError:
-                continue
+            except (ArchiveError, ValueError) as e:
+                if refused is None or isinstance(e, ConflictError):
+                    raise
+                row = [(number, path, str(e), now.isoformat())]
+                spark.createDataFrame(row, "batch long, path string, error string, at string").write.mode("append").json(refused)
 
     source = spark.readStream.schema(SNAPSHOT).option("multiLine", True).json(folder).select("*", "_metadata")
     return source.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
