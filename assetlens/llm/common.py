@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.scratch import delete, scratch
 
 #: ASCII white space, as the bytes that separate words.
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
@@ -23,22 +25,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return base if base else "/tmp/checkpoints"
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: later jobs start from the files, whichever executor is lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def discard(df: DataFrame) -> None:
+    """Delete what store() wrote for df, which nothing reads any more."""
+    delete(df.sparkSession, df.stored_at)
 
 
-def store(df: DataFrame, name: str, *bucket: object) -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs start from the files, whichever executor is lost."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def with_row_number(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written, with a number of each row, and that column's name, which docs doesn't have.
+
+    Written first, so that a row keeps its number whatever is computed again.
+    """
+    row = free_name(docs, "row")
+    return store(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -49,9 +56,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches that go to Python workers, so that long texts can't fill one."""
+def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Bound the Arrow batches that go to Python workers by rows and bytes, so that long texts can't fill one.
+
+    These are settings of the session: queries that it plans later have the same bounds.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
