@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import store, with_row_number
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -154,7 +154,10 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: st
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the rows that hold a benchmark window, told apart by a stored number: other rows of their key stay."""
-    docs = store(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    bad = contamination(docs, items, key="_row").where("contaminated").select(F.col("doc_id").alias("_row"))
-    return docs.join(bad, "_row", "left_anti").drop("_row")
+    """docs without the rows that hold a benchmark window, told apart by a stored number: other rows of their key stay.
+
+    Columns pass through unchanged, whatever their names.
+    """
+    docs, row = with_row_number(docs)
+    bad = contamination(docs.select(row, "text"), items, key=row).where("contaminated").select(F.col("doc_id").alias(row))
+    return docs.join(bad, row, "left_anti").drop(row)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, free_name
 
 #: Bounds of the training sample: rows (or one for each language, if those are more), and characters of each row.
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 1000
@@ -33,6 +33,9 @@ LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
 def grams(word: str) -> list[int]:
+    """Buckets of the word's n-grams; a long word is taken in parts of CACHE_LEN, so that it needs no huge array."""
+    if len(word) > CACHE_LEN:
+        return [g for i in range(0, len(word), CACHE_LEN) for g in grams(word[i : i + CACHE_LEN])]
     data = f"<{word}>"
     return [zlib.crc32(data[i : i + n].encode()) % BUCKETS for n in GRAMS for i in range(len(data) - n + 1)]
 
@@ -122,8 +125,9 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> LanguageModel:
     for s in spans:
         for w in s:
             if w not in known:
-                known[w] = np.array(grams(w))
-    data = [np.concatenate([known[w] for w in s]) for s in spans]
+                known[w] = np.array(grams(w), np.uint16)
+    data = [np.concatenate([known[w] for w in s]) for s in spans]  # two bytes an n-gram
+    del known, spans
     y = np.array(target)
     order = rng.permutation(len(data))
     held, fit = order[: len(data) // 5], order[len(data) // 5 :]
@@ -169,18 +173,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     At most `rows` rows, spread over all languages (one row each, if those are more), with `chars` characters from a
     random place of each. The rows are those with the smallest hashes of their keys, so that reruns agree.
     """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(key) != 0))
-    counts = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()  # one row per language
+    labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(fold("k") != 0)
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row per language
     if not counts:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
     each = max(1, rows // len(counts))
-    u = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30))
+    u = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit("sample")), F.lit(1 << 30))
     wanted = 1.5 * each + 10  # more than each, for chance
-    shares = docs.sparkSession.createDataFrame([(r.lang, float(1 << 30) * min(1.0, wanted / r.n)) for r in counts], "_lang string, _share double")
-    room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
-    span = F.substring(F.col(text), (F.pmod(u, room) + 1).cast("int"), F.lit(chars))
-    drawn = labelled.join(F.broadcast(shares), F.col(lang) == F.col("_lang")).where(u < F.col("_share"))
-    sample = drawn.select(F.col(lang).alias("lang"), span.alias("text"), u.alias("u"), F.col(key).alias("k"), (u / F.col("_share")).alias("nth"))
+    shares = docs.sparkSession.createDataFrame([(r.lang, float(1 << 30) * min(1.0, wanted / r.n)) for r in counts], "lang string, share double")
+    room = F.greatest(F.length("text") - chars, F.lit(0)) + 1
+    span = F.substring("text", (F.pmod(u, room) + 1).cast("int"), F.lit(chars))
+    drawn = labelled.join(F.broadcast(shares), "lang").where(u < F.col("share"))
+    sample = drawn.select("lang", span.alias("text"), u.alias("u"), "k", (u / F.col("share")).alias("nth"))
     got = sample.orderBy("nth", "u", "k", "lang", "text").limit(2 * int(wanted * len(counts))).collect()
     by: dict[str, list[str]] = {}
     for r in got:
@@ -189,23 +194,34 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return train([t for t, _ in pairs], [k for _, k in pairs])
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score (calibrated confidence, 0 to 1) and rejected.
+def identified(docs: DataFrame, model: LanguageModel, out: str, text: str = "text") -> DataFrame:
+    """docs with a column `out` of lang_pred, score (calibrated confidence, 0 to 1) and rejected.
 
     A null text, or one without a letter, is `und` with score 0, and rejected; so is every text if nothing could be
     learned. Any other text has a learned language, and is rejected if its score is below the model's threshold.
-    Whole texts count, however long. Columns of these three names are replaced; others pass through.
+    Whole texts count, however long; rows are judged one by one. Other columns pass through unchanged.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     held = spark.sparkContext.broadcast(model)  # a table of fixed rows and a column per language
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        predictor = held.value.predictor()
+        predictor, least = held.value.predictor(), held.value.threshold
         for batch in texts:
-            yield pd.DataFrame([predictor(t) for t in batch], columns=["lang_pred", "score"])
+            found = pd.DataFrame([predictor(t) for t in batch], columns=["lang_pred", "score"])
+            yield found.assign(rejected=(found["lang_pred"] == UNKNOWN) | (found["score"] < least))
+
+    return docs.withColumn(out, predict(F.col(text)))
+
+
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """docs with the columns lang_pred, score and rejected of identified(); columns of these names are replaced."""
+    held = free_name(docs, "language")
+    return identified(docs, model, held, text).withColumns({c: F.col(f"{held}.{c}") for c in ("lang_pred", "score", "rejected")}).drop(held)
+
 
-    out = docs.withColumn("_lid", predict(F.col(text)))
-    out = out.withColumn("lang_pred", F.col("_lid.lang_pred")).withColumn("score", F.col("_lid.score")).drop("_lid")
-    return out.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < model.threshold))
+def without_rejected(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The rows of docs that identified() doesn't reject, with their own columns, whatever their names."""
+    held = free_name(docs, "language")
+    return identified(docs, model, held, text).where(f"NOT {held}.rejected").drop(held)

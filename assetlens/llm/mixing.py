@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import free_name, store, with_row_number
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Times its source's size that a target may be.
@@ -76,11 +76,14 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     return all_rows.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """docs with every row as often as the mix takes it; a row of no words is never taken.
 
-    Rows that repeat a key are taken as one document, as often as the first of them in order of size.
+    Rows are told apart by a stored number, those that repeat a key or have none too; columns pass through unchanged,
+    whatever their names.
     """
-    taken = mix(docs, text, key, source).groupBy(F.col("doc_id").alias("_mix_key")).agg(F.max("copies").alias("_mix_n"))
-    joined = docs.join(taken, F.col(key).eqNullSafe(F.col("_mix_key"))).where(words(F.col(text)) > 0)
-    return joined.withColumn("_mix_i", F.explode(F.sequence(F.lit(0), F.col("_mix_n")))).where("_mix_i < _mix_n").drop("_mix_i", "_mix_n", "_mix_key")
+    docs, row = with_row_number(docs)
+    copies = free_name(docs, "copies")
+    taken = mix(docs.select(row, text, source), text, row, source).where("taken > 0")
+    taken = taken.select(F.col("doc_id").alias(row), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copies))
+    return docs.join(taken, row).drop(row, copies)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_batches, encoded, free_name, mix, pieces, store
+from .common import Words, arrow_batches, discard, encoded, mix, pieces, store, with_row_number
 from .components import components
 
 #: Classes of a lane up to which all of its pairs are candidates at once.
@@ -282,7 +282,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "
 
     some = not crowd.isEmpty()
     if some:
-        prefix = store(_prefixes(crowd, sets, percent), "prefixes")
+        prefix = _prefixes(crowd, sets, percent)
         pivot = prefix.groupBy("e").agg(F.min(F.struct("at", "cls", "size")).alias("p"), F.count("*").alias("n")).where("n > 1").select("e", "p")
         stars = prefix.join(pivot, "e").where("cls <> p.cls AND " + _allowed("size", "at", "p.size", "p.at", percent))
         stars = stars.select(F.least("cls", "p.cls").alias("u"), F.greatest("cls", "p.cls").alias("v")).distinct()
@@ -384,7 +384,9 @@ def _prefixes(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     tallies = laid.groupBy("chunk").applyInArrow(tally, "bucket int, chunk int, e binary, n binary")
     shared = tallies.groupBy("bucket").applyInArrow(add_up, "chunk int, e binary, n binary")
-    return laid.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(first_few, "e long, cls long, size int, at int")
+    out = store(laid.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(first_few, "e long, cls long, size int, at int"), "prefixes")
+    discard(laid)
+    return out
 
 
 def _apart(prefix: DataFrame, group: DataFrame, percent: int) -> DataFrame:
@@ -490,8 +492,7 @@ def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     Rows are told apart by a stored number under a name that docs doesn't have, so each row stays that links with no
     other, whatever its key; columns pass through unchanged.
     """
-    row = free_name(docs, "row")
-    docs = store(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    docs, row = with_row_number(docs)
     own = docs.select(F.col(row).alias("doc_id"), F.col(text).alias("text"), F.col(key).alias("key"))
     member = similar_groups(own, n, percent, count_links=False).select("doc_id", F.col("component_id").alias("component"))
     first = F.struct(F.col("key").isNull().alias("none"), "key", F.xxhash64("text").alias("hash"), "doc_id")

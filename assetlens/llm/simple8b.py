@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_batches, encoded, pieces, scratch
+from ..functions.scratch import scratch
+from .common import Words, arrow_batches, encoded, pieces
 
 #: Fixed values of the coding: selector, ids per word, bits per id.
 SELECTORS = ((2, 60, 1), (3, 30, 2), (4, 20, 3), (5, 15, 4), (6, 12, 5), (7, 10, 6), (8, 8, 7), (9, 7, 8), (10, 6, 10), (11, 5, 12), (12, 4, 15), (13, 3, 20), (14, 2, 30), (15, 1, 60))

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, encoded, mix, scratch
+from ..functions.scratch import scratch
+from .common import Words, encoded, mix
 
 CHUNK_BYTES = 4 << 20
 #: Entries of a hash bucket, about.
@@ -105,7 +106,7 @@ def _lay_out(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, int, str]
     files = int(max(1, min(n_chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     # By the text's hash too: a key that many rows repeat is spread.
     laid = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_chunks)).cast("int"))
-    name = f"chunks_{uuid.uuid4().hex}"
+    name = f"assetlens_chunks_{uuid.uuid4().hex}"
     (laid.repartition(files, "chunk").write.bucketBy(files, "chunk").option("path", scratch(spark, "chunks")).option("compression", "zstd").saveAsTable(name))
     return spark.table(name), total, name
 
