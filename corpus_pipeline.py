@@ -16,23 +16,22 @@ END_ID = 2
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, and those of too low a confidence, go."""
-    found = language.identify(docs, language.fit(docs))
-    return found.where("NOT rejected").select(docs.columns)
+    return language.without_rejected(docs, language.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of the smallest doc_id stays."""
-    return ngram_join.one_of_each_group(docs).select(docs.columns)
+    return ngram_join.one_of_each_group(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item (or a whole shorter item) go."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
-    return mixing.mixed_documents(docs).select(docs.columns)
+    return mixing.mixed_documents(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
