@@ -2,7 +2,8 @@
 
 Everything works on all sources at once; one source is a filter. A kind whose order of targets doesn't depend on the
 source keeps, of each group, only the targets that can still be among the first 4 * limit of any source, so that a
-group of n members gives n * (4 * limit + 1) pairs and not n * n.
+group of n members gives n * (4 * limit + 1) pairs and not n * n. Neighbors in time are the nearest in order of time;
+neighbors in place are found once for each place that has assets, of which only as many first ones stay.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import stable_id
 from ..functions.times import julian_day, seconds_apart
 from .classify import live
-from .range_join import within_1d, within_2d
+from .range_join import with_nearest, within_1d, within_2d
 
 LIMIT, MOST = 20, 100
 #: Seconds and degrees within which assets are near, and metres of a degree.
@@ -76,28 +77,43 @@ def same_hash(assets: DataFrame, resources: DataFrame, most: int | None = None)
     return _rows(pairs, 3, "same_resource_hash", "asset_resource.sha256", F.lit(1.0), F.lit('{"hash_present":true}'), [], F.lit(0))
 
 
-def nearby_time(assets: DataFrame) -> DataFrame:
-    a = live(assets).withColumn("jd", julian_day(F.col("creation_date"))).where("jd IS NOT NULL").withColumn("sec", F.col("jd") * 86400.0)
-    s = a.select(F.col("id").alias("source_id"), F.col("local_identifier").alias("sl"), F.col("jd").alias("sj"), F.col("sec").alias("ss"))
-    t = a.select(F.col("id").alias("target_id"), F.col("local_identifier").alias("tl"), F.col("jd").alias("tj"), F.col("sec").alias("ts"), "creation_date")
-    seconds = seconds_apart(F.col("sj"), F.col("tj"))
-    pairs = within_1d(s, t, "ss", "ts", TIME_CELL, (seconds <= TIME_WINDOW) & (F.col("source_id") != F.col("target_id"))).withColumn("seconds", seconds)
+def nearby_time(assets: DataFrame, most: int | None = None) -> DataFrame:
+    a = live(assets).withColumn("jd", julian_day(F.col("creation_date"))).where("jd IS NOT NULL")
+    s = a.select(F.col("id").alias("source_id"), F.col("local_identifier").alias("sl"), F.col("jd").alias("sj"))
+    t = a.select(F.col("id").alias("target_id"), F.col("local_identifier").alias("tl"), F.col("jd").alias("tj"), "creation_date")
+    if most is None:
+        pairs = within_1d(s.withColumn("ss", F.col("sj") * 86400.0), t.withColumn("ts", F.col("tj") * 86400.0), "ss", "ts", TIME_CELL, seconds_apart(F.col("sj"), F.col("tj")) <= TIME_WINDOW)
+        pairs = pairs.withColumn("seconds", seconds_apart(F.col("sj"), F.col("tj")))
+    else:
+        # Of one instant, its first targets; around each instant, as many instants on either side hold all that count.
+        target = F.struct("creation_date", "target_id", "tl")
+        instants = _few_targets(t, ["tj"], most).groupBy(F.col("tj").alias("sj")).agg(F.collect_list(target).alias("ts"))
+        near = with_nearest(instants, "sj", most + 1, F.struct("sj", "ts"), "near")
+        rows = F.flatten(F.transform("near", lambda x: F.transform(x["ts"], lambda y: F.struct(seconds_apart(F.col("sj"), x["sj"]).alias("seconds"), *[y[c].alias(c) for c in ("creation_date", "target_id", "tl")]))))
+        best = near.select("sj", F.slice(F.array_sort(F.filter(rows, lambda x: x["seconds"] <= TIME_WINDOW)), 1, most + 1).alias("best"))
+        pairs = s.join(best, "sj").select("source_id", "sl", F.explode("best").alias("x")).select("source_id", "sl", "x.*")
+    pairs = pairs.where("source_id <> target_id")
     weight = F.when(F.col("seconds") <= 60, 0.75).when(F.col("seconds") <= 600, 0.65).otherwise(0.45)
     detail = F.to_json(F.struct(F.round("seconds", 3).alias("seconds_apart"), F.lit(3600).alias("window_seconds")))
     return _rows(pairs, 4, "nearby_time", "asset.creation_date", weight, detail, [_metadata_evidence("source_id", "sl"), _metadata_evidence("target_id", "tl")], F.col("seconds"))
 
 
-def nearby_location(assets: DataFrame, locations: DataFrame) -> DataFrame:
+def nearby_location(assets: DataFrame, locations: DataFrame, most: int | None = None) -> DataFrame:
+    """An asset has one location, as the merge writes it."""
     a = live(assets).select(F.col("id").alias("target_id"), "creation_date")
     s = locations.select(F.col("asset_id").alias("source_id"), F.col("latitude").alias("slat"), F.col("longitude").alias("slon"), F.col("evidence_id").alias("se"))
     t = locations.select(F.col("asset_id").alias("target_id"), F.col("latitude").alias("tlat"), F.col("longitude").alias("tlon"), F.col("evidence_id").alias("te")).join(a, "target_id")
     dlat, dlon = F.abs(F.col("slat") - F.col("tlat")), F.abs(F.col("slon") - F.col("tlon"))
-    near = (dlat <= DEGREES) & (dlon <= DEGREES) & (F.col("source_id") != F.col("target_id"))
-    pairs = within_2d(s, t, ("slat", "slon"), ("tlat", "tlon"), DEGREE_CELL, near).withColumn("dlat", dlat).withColumn("dlon", dlon)
+    places = s if most is None else s.select("slat", "slon").distinct()
+    pairs = within_2d(places, _few_targets(t, ["tlat", "tlon"], most), ("slat", "slon"), ("tlat", "tlon"), DEGREE_CELL, (dlat <= DEGREES) & (dlon <= DEGREES))
+    pairs = pairs.withColumn("dlat", dlat).withColumn("dlon", dlon).withColumn("apart", dlat + dlon)
+    if most is not None:
+        pairs = s.join(_few_targets(pairs, ["slat", "slon"], most, "apart", "creation_date", "target_id"), ["slat", "slon"])
+    pairs = pairs.where("source_id <> target_id")
     metres = (F.col("dlat") + F.col("dlon")) * METRES
     weight = F.when(metres <= 100, 0.75).when(metres <= 500, 0.65).otherwise(0.5)
     detail = F.to_json(F.struct(F.round("dlat", 9).alias("latitude_delta"), F.round("dlon", 9).alias("longitude_delta"), F.round(metres, 3).alias("approx_distance_meters")))
-    return _rows(pairs, 5, "nearby_location", "location_observation.raw_gps_window", weight, detail, [F.col("se"), F.col("te")], F.col("dlat") + F.col("dlon"))
+    return _rows(pairs, 5, "nearby_location", "location_observation.raw_gps_window", weight, detail, [F.col("se"), F.col("te")], F.col("apart"))
 
 
 def shared_observation(assets: DataFrame, visual: DataFrame, most: int | None = None) -> DataFrame:
@@ -120,8 +136,8 @@ def candidates(tables: dict[str, DataFrame], limit: int = LIMIT, source: str | N
         same_burst(a, most),
         same_album(a, tables["album_membership"], most),
         same_hash(a, tables["asset_resource"], most),
-        nearby_time(a),
-        nearby_location(a, tables["location_observation"]),
+        nearby_time(a, most),
+        nearby_location(a, tables["location_observation"], most),
         shared_observation(a, tables["visual_observation"], most),
     ]
     live_ids = live(a).select(F.col("id").alias("source_id"))

@@ -64,7 +64,7 @@ SELECT {sid("album_membership", "asset_id", "'album-' || user_id % 30")} AS id,
     "location_observation": f"""
 SELECT {sid("location_observation", "asset_id", LOCAL)} AS id, asset_id, 50.0::DOUBLE + (user_id % 50) * 0.002::DOUBLE AS latitude, 4.0::DOUBLE + (event_id % 40) * 0.002::DOUBLE AS longitude,
   CASE WHEN event_id % 11 <> 0 THEN CAST(value AS DOUBLE) END AS horizontal_accuracy, {sid("evidence", "asset_id", "'location'", LOCAL)} AS evidence_id
-FROM ev WHERE event_id % 3 = 0""",
+FROM ev""",
     "classification_queue": f"""
 SELECT {sid("classification_queue", "asset_id")} AS id, asset_id,
   CASE WHEN event_id % 97 = 0 THEN 'deleted' WHEN event_id % 4 = 0 THEN 'metadata_classified' WHEN event_id % 23 = 0 THEN 'content_failed' ELSE 'pending' END AS state

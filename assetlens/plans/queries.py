@@ -252,7 +252,7 @@ _KINDS = {
     ),
 }
 _TOP = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY k1, creation_date, target_id, detail) AS pos FROM ({rows}) WHERE source_id IN (SELECT id FROM asset WHERE deleted_at IS NULL)) WHERE pos <= {most}"
-PER_KIND, BEST = 5, 3
+PER_KIND, BEST = N.LIMIT, N.LIMIT
 
 
 def _add_kind(name: str, tables: tuple[str, ...], rows: str) -> None:

@@ -85,7 +85,7 @@ class Views:
         )
 
     def location_observation(self) -> DataFrame:
-        e = self._events().where("event_id % 3 = 0")
+        e = self._events()
         local = F.concat(F.lit("evt-"), F.col("event_id"))
         return e.select(
             stable_id("location_observation", F.col("asset_id"), local).alias("id"),
