@@ -7,13 +7,13 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import classify, detail, neighbors, place, place_card, search, status, timeline
+from .operators import classify, detail, evaluation, neighbors, place, place_card, place_run, search, status, timeline
 from .operators.crawl import CrawlResult, crawl
 from .sources.library import provider as provider_of
 from .store import ArchiveError, Store
 
 VERSION = "0.1.0"
-CAPABILITIES = ("init", "status", "crawl", "classify", "search", "timeline", "open", "evidence", "neighbors", "export", "place-card")
+CAPABILITIES = ("init", "status", "crawl", "classify", "search", "timeline", "open", "evidence", "neighbors", "export", "place-context", "place-card", "place-backfill", "eval-card")
 
 
 def manifest() -> dict:
@@ -82,3 +82,19 @@ class Archive:
     @staticmethod
     def place_cards(results: DataFrame, result: str = "result") -> DataFrame:
         return results.withColumn("card", place_card.render(F.col(result)))
+
+    def place_context(self, documents: DataFrame, cache: str, lookup: place_run.Lookup, radius: float = place_run.RADIUS, **pace) -> DataFrame:
+        """Place results of input documents (a column of JSON text named value)."""
+        read = documents.select(place.parse_input(F.col("value")).alias("p")).select("p.*").withColumnRenamed("accuracy_meters", "accuracy")
+        return place_run.run_places(read, cache, lookup, radius, **pace)
+
+    def place_backfill(self, out: str, lookup: place_run.Lookup, **pace) -> dict:
+        t = self.store.tables()
+        return place_run.backfill(t["asset"], t["location_observation"], out, lookup, **pace)
+
+    def eval_card(self, out: str, models: list[str], call: evaluation.Call | None = None, **options) -> dict:
+        """An evaluation of the archive's images that are on this file system."""
+        t = self.store.tables()
+        here = classify.live(t["asset_resource"]).where("available_locally AND trim(local_path) <> ''")
+        originals = here.groupBy("asset_id").agg(F.min_by("local_path", F.struct("resource_type", "id")).alias("path"))
+        return evaluation.run(t["asset"], originals, originals.limit(0), out, models, call, **options)

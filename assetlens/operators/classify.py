@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
 from ..functions.ids import stable_id
+from ..functions.scratch import written
 from .merge import replace_scope
 
 RULE_SOURCE, RULE_MODEL = "archive_metadata", "metadata_rules_v1"
@@ -150,7 +151,7 @@ def drain(store, with_model: bool = False, limit: int | None = 100, call: Callab
     from .merge import merge
 
     t = store.tables()
-    taken = queue(t["classification_queue"], t["asset"], with_model or call is not None, limit).select("asset_id").cache()
+    taken = written(queue(t["classification_queue"], t["asset"], with_model or call is not None, limit).select("asset_id"), "queue")
     chosen = t["asset"].join(taken, t["asset"].id == taken.asset_id, "left_semi")
     rows = inputs(chosen, t["asset_resource"], t["album_membership"])
     found = classify_rules(chosen, t["asset_resource"], t["album_membership"])
@@ -159,7 +160,8 @@ def drain(store, with_model: bool = False, limit: int | None = 100, call: Callab
     outcome = None
     if call is not None:
         asked = rows.select("asset_id", content_image(F.col("resources")).alias("path")).where("path IS NOT NULL")
-        answered = asked.mapInPandas(call, "asset_id string, response string, error string").cache()
+        # Written first: a model that is asked again may answer otherwise.
+        answered = written(asked.mapInPandas(call, "asset_id string, response string, error string"), "answers")
         contents = observations(answered.where("error IS NULL").select("asset_id", "response"), "response")
         model = model_rows(contents)
         scope = taken.select("asset_id", F.lit(MODEL_SOURCE).alias("source"))

@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 from ..functions import text as T
 from ..functions.scratch import scratch
 from .classify import live
+from .range_join import in_order
 
 CANDIDATES, FEATURES, POIS = 12, 2, 4
 RETRY_MINUTES = {2: 2, 3: 10, 4: 30}
@@ -163,7 +164,7 @@ def coordinate_key(latitude: pd.Series, longitude: pd.Series, accuracy: pd.Serie
 
 def indexed_keys(keys: DataFrame) -> DataFrame:
     k = keys.withColumn("key", coordinate_key(F.col("latitude"), F.col("longitude"), F.col("accuracy")))
-    return k.withColumn("index", (F.row_number().over(W.orderBy("key")) - 1).cast("bigint"))
+    return in_order(k, "key").withColumnRenamed("_index", "index")
 
 
 def backfill_jobs(keys: DataFrame, outputs: DataFrame, attempts: DataFrame, attempt: int) -> DataFrame:
