@@ -57,3 +57,28 @@ def test_every_language_is_learned(spark):
         rows += [(1000 * i + j, f"{a}{b}{a} {b}{b}{a}{a} {a}{b}{b}{a}{b}", f"l{i:03}") for j in range(12 if i < 200 else 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert fit(docs).labels == sorted({r[2] for r in rows})
+
+
+def test_predictions_against_the_mean_of_all_ngrams():
+    import numpy as np
+
+    from assetlens.llm.language import BUCKETS, GRAMS
+
+    m = train([t for _, t, _ in corpus(100)], [x for *_, x in corpus(100)])
+    for text in ("the river STRASSE", "x" * 95 + " дом", "a", "light, light; der"):
+        rows = []
+        for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            for part in [w[i : i + 40] for i in range(0, len(w), 40)]:
+                data = f"<{part}>"
+                rows += [m.table[zlib.crc32(data[i : i + n].encode()) % BUCKETS] for n in GRAMS for i in range(len(data) - n + 1)]
+        z = (np.mean(rows, 0) + m.bias) / m.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        label, score = m.predictor()(text)
+        assert label == m.labels[int(p.argmax())] and abs(score - p.max()) < 1e-9
+
+
+def test_repeated_rows_and_null_keys_are_judged_alike(spark):
+    docs = spark.createDataFrame([(1, "the river", "aa"), (1, "the river", "aa"), (None, "the river", None), (2, "der fluss", "bb"), (4, "река камень", "cc")], "doc_id long, text string, lang string")
+    m = train([t for _, t, _ in corpus(100)], [x for *_, x in corpus(100)])
+    got = [(r.lang_pred, r.score) for r in identify(docs, m).collect() if r.text == "the river"]
+    assert len(got) == 3 and len(set(got)) == 1

@@ -124,3 +124,9 @@ def test_folded_sketches_bound_the_difference(spark):
     classes = spark.createDataFrame([(k, len(h), parity_sketch(h).tolist()) for k, h in sets.items()], "cls long, size long, sketch array<long>")
     pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "u long, v long")
     assert {(r.u, r.v) for r in _near(pairs, classes, 80).collect()} == {(1, 2), (4, 5)}
+
+
+def test_rows_of_one_key_are_judged_by_their_texts(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(7, text), (7, "quite another text"), (3, text + " x"), (7, "quite another text")], "doc_id long, text string")
+    assert sorted(map(tuple, one_of_each_group(docs).collect())) == [(3, text + " x"), (7, "quite another text")]
