@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,6 +16,8 @@ from .classify import live
 #: Fixed values of BM25: k1, b, and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 LIMIT, MOST, SNIPPET = 20, 100, 12
+#: Folders of a stored index, by the CRC-32 of the term.
+SHARDS = 64
 _FOLD = str.maketrans(T.FOLD_FROM, T.FOLD_TO)
 
 
@@ -104,6 +108,43 @@ def bm25(docs: DataFrame, query: str, columns: Sequence[str], id_: str = "id") -
     return hit.withColumn("rank", rank).drop("dl", "_n", "_avg", *[f"_f{i}" for i in range(len(wanted))], *[f"_df{i}" for i in range(len(wanted))])
 
 
+def write_index(docs: DataFrame, columns: Sequence[str], path: str, id_: str = "id") -> None:
+    """The stored index of docs below path: postings with positions, dealt by term into SHARDS folders, the length of
+    every document, and one row of statistics. It is written anew when documents change."""
+    shard = F.crc32("term") % SHARDS
+    postings(docs, columns, id_).withColumn("shard", shard).repartition("shard", F.xxhash64("id") % 8).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+    tokenized(docs, columns).select(F.col(id_).alias("id"), "dl").write.mode("overwrite").parquet(f"{path}/lengths")
+    lengths = docs.sparkSession.read.parquet(f"{path}/lengths")
+    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def indexed_bm25(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """id and rank of the documents that hold every phrase, as bm25() has them, from a stored index: only the folders and
+    row groups of the query's terms are read, and no document is tokenized."""
+    wanted = phrases(query)
+    terms = sorted({t for p in wanted for t in p})
+    found = spark.read.parquet(f"{path}/postings").where(F.col("shard").isin([zlib.crc32(t.encode()) % SHARDS for t in terms]) & F.col("term").isin(terms))
+    by = found.groupBy("id", "column").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))  # a term of the query each
+
+    def starts(phrase: list[str]) -> Column:
+        """Places at which the phrase starts: those of its words, moved back, in common."""
+        of_term = lambda t: F.coalesce(F.try_element_at("at", F.lit(t)), F.array().cast("array<int>"))
+        back = lambda k: lambda p: p - k
+        at = [F.transform(of_term(t), back(k)) for k, t in enumerate(phrase)]
+        return F.size(reduce(F.array_intersect, at)) if phrase else F.lit(0)
+
+    of = by.groupBy("id").agg(*[F.sum(starts(p)).alias(f"f{i}") for i, p in enumerate(wanted)])
+    holding = [F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]
+    stats = spark.read.parquet(f"{path}/stats").join(F.broadcast(of.agg(*holding)), F.lit(True))  # one row each
+    hit = of.where(" AND ".join(f"f{i} > 0" for i in range(len(wanted)))).join(spark.read.parquet(f"{path}/lengths"), "id").join(F.broadcast(stats), F.lit(True))
+    rank = F.lit(0.0)
+    for i in range(len(wanted)):
+        f, n = F.col(f"f{i}").cast("double"), F.col("n").cast("double")
+        idf = F.greatest(F.log((n - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(LEAST_IDF))
+        rank = rank - idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    return hit.select("id", rank.alias("rank"))
+
+
 def snippet(body: Column, query: str, words: int = SNIPPET) -> Column:
     """The window of so many words with the most phrase starts, matches in brackets, cut ends marked. An approximation:
     windows are of white-space words, and the earliest of the best is taken."""

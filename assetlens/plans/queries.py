@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.ids import stable_id
+from ..functions.scratch import scratch
 from ..functions.times import instant, julian_day, millis
 from ..operators import classify as C
 from ..operators import crawl as G
@@ -332,6 +333,14 @@ def bm25_documents(v: Views) -> DataFrame:
     return search.bm25(v.raw("documents"), TERMS, ("text",), "doc_id").select("doc_id", F.round("rank", 9).alias("rank"))
 
 
+@query("search_indexed", f"SELECT doc_id AS id, round(rank, 9) AS rank FROM ({bm25_sql('documents', TERMS, ('text',), 'doc_id')})")
+def search_indexed(v: Views) -> DataFrame:
+    """bm25_documents from an index that is written first."""
+    path = scratch(v.spark, "index")
+    search.write_index(v.raw("documents"), ("text",), path, "doc_id")
+    return search.indexed_bm25(v.spark, path, TERMS).select("id", F.round("rank", 9).alias("rank"))
+
+
 @query("phrase_match", f"SELECT doc_id, CAST({_phrase_sql('t', ['of', 'the'])} AS BIGINT) AS hits FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents)")
 def phrase_match(v: Views) -> DataFrame:
     return v.raw("documents").select("doc_id", search.phrase_hits(T.search_tokens(F.col("text")), ["of", "the"]).cast("bigint").alias("hits"))

@@ -56,3 +56,13 @@ def test_phrases_are_counted_wherever_they_start(spark):
 def test_texts_are_cut_by_bytes(spark):
     cut = lambda text, n: spark.range(1).select(T.cut(F.lit(text), n)).first()[0]
     assert [cut("ab  cd", 4), cut("é" * 4, 5), cut("a🙂b", 4), cut("日本", 6), cut("a b", 2)] == ["ab c", "éé", "a", "日本", "a"]
+
+
+def test_a_stored_index_ranks_like_the_documents(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["of", "the", "menu", "trip", "É."], k=rng.randrange(6))), " ".join(rng.choices(["of", "the", "ecran", "x_y"], k=rng.randrange(40)))) for i in range(120)]
+    docs = spark.createDataFrame([*rows, (500, None, None)], "id long, title string, body string")
+    search.write_index(docs, ("title", "body"), str(tmp_path / "i"))
+    for q in ("of", "of.the", "of.of.the menu", "écran", "x_y the", "absent", "--", "of --"):
+        want = sorted((r.id, round(r["rank"], 9)) for r in search.bm25(docs, q, ("title", "body")).collect())
+        assert sorted((r.id, round(r["rank"], 9)) for r in search.indexed_bm25(spark, str(tmp_path / "i"), q).collect()) == want, q
