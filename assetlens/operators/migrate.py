@@ -36,10 +36,9 @@ def normalize_tombstones(resources: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def migrate(store: Store, meta: dict) -> None:
+    """New table versions and the new schema version, in one commit."""
     read = lambda name: add_missing(store.spark.read.parquet(f"{store.path}/{meta['tables'][name]}"), TABLES[name])
     changed = {name: read(name) for name in ("asset", "asset_resource") if name in meta["tables"]}
     if "asset_resource" in changed and "asset" in changed:
         changed["asset_resource"] = normalize_tombstones(changed["asset_resource"], changed["asset"])
-    meta["version"] = SCHEMA_VERSION
-    store._write_meta(meta)
-    store.commit(changed)
+    store.commit(changed, {**meta, "version": SCHEMA_VERSION})

@@ -56,7 +56,8 @@ class FallbackProvider:
     def snapshot(self, spark: SparkSession, library_path: str) -> DataFrame:
         try:
             found = self.primary.snapshot(spark, library_path)
-            found.take(1)
+            if not found.take(1):
+                raise ValueError(f"no snapshot in {library_path}")
             return found
         except Exception as e:  # any failure of a source is what the fallback is for
             found = self.secondary.snapshot(spark, library_path)
