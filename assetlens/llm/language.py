@@ -9,7 +9,6 @@ temperature, and texts below a calibrated threshold can be rejected.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, free_name
+from .common import arrow_batches, free_name, join, mix, pieces
 
 #: Bounds of the training sample: rows (or one for each language, if those are more), and characters of each row.
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 1000
@@ -27,17 +26,36 @@ EPOCHS, LEAST_STEPS, RATE, BATCH = 4, 300, 8.0, 64
 #: Share of rightly predicted calibration rows that rejection may cost, and the highest threshold.
 REJECTED, HIGHEST = 0.002, 0.5
 UNKNOWN = "und"
-CACHE, CACHE_LEN = 200_000, 40
+#: Words kept by a Python worker, and the longest that is.
+CACHE, CACHE_LEN = 500_000, 40
 
 LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the word's n-grams; a long word is taken in parts of CACHE_LEN, so that it needs no huge array."""
-    if len(word) > CACHE_LEN:
-        return [g for i in range(0, len(word), CACHE_LEN) for g in grams(word[i : i + CACHE_LEN])]
-    data = f"<{word}>"
-    return [zlib.crc32(data[i : i + n].encode()) % BUCKETS for n in GRAMS for i in range(len(data) - n + 1)]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of all words, with word bounds, and the word (its place) of each, in order of the words.
+
+    A long word is taken in parts of CACHE_LEN, each with bounds of its own.
+    """
+    parts, owner = [], []
+    for i, w in enumerate(words):
+        for a in range(0, len(w), CACHE_LEN):
+            parts.append(f"<{w[a : a + CACHE_LEN]}>")
+            owner.append(i)
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    one = mix(np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64))
+    part = np.repeat(np.arange(len(parts)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(one))  # characters of the part from here on
+    two = join(one[:-1], one[1:])
+    runs = {1: one, 2: two, 3: join(two[:-1], one[2:]), 4: join(two[:-2], two[2:])}
+    buckets, of = [], []
+    for n in GRAMS:
+        some = np.flatnonzero(left[: len(runs[n])] >= n)
+        buckets.append((runs[n][some] >> np.uint64(20)) % np.uint64(BUCKETS))
+        of.append(part[some])
+    of = np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    return np.concatenate(buckets).astype(np.int64)[order], np.array(owner, np.int64)[of[order]]
 
 
 @dataclass
@@ -54,48 +72,50 @@ class LanguageModel:
         return Predictor(self)
 
 
-class Predictor(dict):
+class Predictor:
     """Remembers, for each word, the row in which the sum of its n-grams' logits and their number stand."""
 
     def __init__(self, model: LanguageModel):
-        super().__init__()
         self.model = model
-        self.rows = np.zeros((1024, len(model.labels) + 1))
-
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        if row >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        found = grams(word)
-        self.rows[row, :-1] = self.model.table[found].sum(0)
-        self.rows[row, -1] = len(found)
-        self[word] = row
-        return row
-
-    def logits(self, text: str) -> np.ndarray | None:
-        """None if the text has no letter."""
-        words = LETTERS(text.lower())
-        if not any(c.isalpha() for w in words for c in w):
-            return None
-        if len(self) > CACHE:
-            self.clear()
-        long = [w for w in words if len(w) > CACHE_LEN]
-        at = [self[w] for w in words if len(w) <= CACHE_LEN] if long else list(map(self.__getitem__, words))
-        total = self.rows[at].sum(0) if at else np.zeros(self.rows.shape[1])
-        for w in long:  # in parts, so that one word of a huge text needs no huge array
-            for i in range(0, len(w), CACHE_LEN):
-                found = grams(w[i : i + CACHE_LEN])
-                total[:-1] += self.model.table[found].sum(0)
-                total[-1] += len(found)
-        return total[:-1] / total[-1] + self.model.bias
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((0, len(model.labels) + 1))
+
+    def learn(self, new: list[str]) -> None:
+        bucket, of = grams(new)
+        begin = np.flatnonzero(np.diff(of, prepend=-1))  # every word has an n-gram
+        sums = np.add.reduceat(self.model.table[bucket], begin)
+        n = np.diff(np.append(begin, len(of)))
+        self.at.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+        self.rows = np.concatenate([self.rows, np.column_stack([sums, n])])
+
+    def many(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and confidence of each text: UNKNOWN and 0 if it has no letter, or if nothing could be learned."""
+        words = [LETTERS(t.lower()) if t and self.model.labels else [] for t in texts]
+        words = [w if any(c.isalpha() for x in w for c in x) else [] for w in words]
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        own = [i for i, w in enumerate(words) if w]
+        if not own:
+            return out
+        every = [w for i in own for w in words[i]]
+        distinct = dict.fromkeys(every)
+        new = [w for w in distinct if w not in self.at]
+        if len(self.rows) + len(new) > CACHE:
+            self.__init__(self.model)
+            new = list(distinct)
+        if new:
+            self.learn(new)
+        rows = self.rows[np.fromiter(map(self.at.__getitem__, every), np.int64, len(every))]
+        for w in [w for w in new if len(w) > CACHE_LEN]:
+            del self.at[w]
+        sizes = np.array([len(words[i]) for i in own])
+        total = np.add.reduceat(rows, np.cumsum(sizes) - sizes)
+        p = softmax((total[:, :-1] / total[:, -1:] + self.model.bias) / self.model.temperature)
+        for i, k, row in zip(own, p.argmax(1).tolist(), p, strict=True):
+            out[i] = (self.model.labels[k], float(row[k]))
+        return out
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        z = self.logits(text) if text and self.model.labels else None
-        if z is None:
-            return UNKNOWN, 0.0
-        p = softmax(z[None] / self.model.temperature)[0]
-        k = int(p.argmax())
-        return self.model.labels[k], float(p[k])
+        return self.many([text])[0]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -121,13 +141,11 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> LanguageModel:
             target.append(labels.index(lang))
     if not spans:
         return LanguageModel(labels if len(labels) == 1 else [], np.zeros((BUCKETS, len(labels))), np.zeros(len(labels)))
-    known: dict[str, np.ndarray] = {}
-    for s in spans:
-        for w in s:
-            if w not in known:
-                known[w] = np.array(grams(w), np.uint16)
+    distinct = list(dict.fromkeys(w for s in spans for w in s))
+    bucket, of = grams(distinct)
+    known = dict(zip(distinct, np.split(bucket.astype(np.uint16), np.flatnonzero(np.diff(of)) + 1), strict=True))
     data = [np.concatenate([known[w] for w in s]) for s in spans]  # two bytes an n-gram
-    del known, spans
+    del distinct, bucket, of, known, spans
     y = np.array(target)
     order = rng.permutation(len(data))
     held, fit = order[: len(data) // 5], order[len(data) // 5 :]
@@ -209,7 +227,8 @@ def identified(docs: DataFrame, model: LanguageModel, out: str, text: str = "tex
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predictor, least = held.value.predictor(), held.value.threshold
         for batch in texts:
-            found = pd.DataFrame([predictor(t) for t in batch], columns=["lang_pred", "score"])
+            rows = [x for piece in pieces(zip(batch), 0) for x in predictor.many([t for (t,) in piece])]
+            found = pd.DataFrame(rows, columns=["lang_pred", "score"])
             yield found.assign(rejected=(found["lang_pred"] == UNKNOWN) | (found["score"] < least))
 
     return docs.withColumn(out, predict(F.col(text)))

@@ -59,22 +59,42 @@ def test_every_language_is_learned(spark):
     assert fit(docs).labels == sorted({r[2] for r in rows})
 
 
-def test_predictions_against_the_mean_of_all_ngrams():
+def test_ngrams_are_those_of_each_word_alone():
     import numpy as np
 
-    from assetlens.llm.language import BUCKETS, GRAMS
+    from assetlens.llm.language import GRAMS, grams
+
+    words = ["a", "straße", "река", "x" * 95, "ab", "a"]
+    bucket, of = grams(words)
+    for i, w in enumerate(words):
+        alone = grams([w])[0].tolist()
+        parts = [f"<{w[k : k + 40]}>" for k in range(0, len(w), 40)]
+        assert sorted(bucket[of == i].tolist()) == sorted(alone) and len(alone) == sum(max(0, len(p) - n + 1) for p in parts for n in GRAMS)
+    assert np.all(np.diff(of) >= 0)
+    # The same n-gram has the same bucket wherever it stands: "ab" and "xab" share all but those with the first bound.
+    one, other = (set(grams([w])[0].tolist()) for w in ("bcdefghij", "abcdefghij"))
+    assert len(one - other) <= 4
+
+
+def test_predictions_against_the_mean_of_all_ngrams(monkeypatch):
+    import numpy as np
+
+    from assetlens.llm import language
 
     m = train([t for _, t, _ in corpus(100)], [x for *_, x in corpus(100)])
-    for text in ("the river STRASSE", "x" * 95 + " дом", "a", "light, light; der"):
-        rows = []
-        for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
-            for part in [w[i : i + 40] for i in range(0, len(w), 40)]:
-                data = f"<{part}>"
-                rows += [m.table[zlib.crc32(data[i : i + n].encode()) % BUCKETS] for n in GRAMS for i in range(len(data) - n + 1)]
-        z = (np.mean(rows, 0) + m.bias) / m.temperature
-        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-        label, score = m.predictor()(text)
-        assert label == m.labels[int(p.argmax())] and abs(score - p.max()) < 1e-9
+    texts = ["the river STRASSE", "x" * 95 + " дом", "a", None, "12 3", "light, light; der", "the a der " * 50]
+    for cache in (500_000, 3):
+        monkeypatch.setattr(language, "CACHE", cache)
+        p = m.predictor()
+        for got, text in [*zip(p.many(texts), texts, strict=True), *((p(t), t) for t in texts)]:
+            words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+            if not words:
+                assert got == ("und", 0.0)
+                continue
+            rows = np.concatenate([m.table[language.grams([w])[0]] for w in words])
+            z = (rows.mean(0) + m.bias) / m.temperature
+            e = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            assert got[0] == m.labels[int(e.argmax())] and abs(got[1] - e.max()) < 1e-9
 
 
 def test_repeated_rows_and_null_keys_are_judged_alike(spark):
