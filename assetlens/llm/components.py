@@ -24,7 +24,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links (u, v) -> (node, component): the least node that links reach, for every node that has a link.
 
-    Edges are kept on disk between rounds; nothing is gathered anywhere. Loops are ignored.
+    Edges are kept on disk between rounds; nothing is gathered anywhere. Loops are ignored. discard() deletes what the
+    result is read from.
     """
     edges = store(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
@@ -33,5 +34,7 @@ def components(links: DataFrame) -> DataFrame:
         discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+            out.stored_at = edges.stored_at
+            return out
         mark = now

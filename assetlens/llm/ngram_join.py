@@ -194,6 +194,13 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "
     """
     spark = docs.sparkSession
     arrow_batches(spark)
+    stored: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str | None = None) -> DataFrame:
+        """df, written (but if that is done), until the result is."""
+        stored.append(store(df, name) if name else df)
+        return stored[-1]
+
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(8, int(total / 6 * 0.45 / BUCKET_KEYS))
@@ -255,18 +262,18 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "
             }
         )
 
-    first = store(rows.mapInArrow(describe, FIRST), "sets")
+    first = keep(rows.mapInArrow(describe, FIRST), "sets")
     described = first.where("bucket IS NULL AND band IS NULL").select("doc_id", "n_shingles", "cls", "sketch")
     keyed = first.where("bucket IS NOT NULL").select("bucket", "lane_keys", "classes")
-    met = store(keyed.groupBy("bucket").applyInArrow(meet, "u long, v long, band int, n_large int"), "met")
+    met = keep(keyed.groupBy("bucket").applyInArrow(meet, "u long, v long, band int, n_large int"), "met")
     reps = described.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
-    reps = store(reps, "classes")
+    reps = keep(reps, "classes")
 
     lanes = first.where("band IS NOT NULL").select("cls", "band", "spare", "n_large")
     lanes = lanes.union(met.where("v IS NULL").select("u", "band", F.lit(None).cast("int"), "n_large"))
     lanes = lanes.groupBy("cls", "band").agg(F.min("spare").alias("spare"), F.sum("n_large").alias("n_large"))
-    crowd = store(lanes.where("n_large >= spare").select("cls").distinct().join(reps.select("cls", "size"), "cls"), "crowd")
-    near = store(_near(met.where("v IS NOT NULL").select("u", "v").distinct(), reps, percent), "near-pairs")
+    crowd = keep(lanes.where("n_large >= spare").select("cls").distinct().join(reps.select("cls", "size"), "cls"), "crowd")
+    near = keep(_near(met.where("v IS NOT NULL").select("u", "v").distinct(), reps, percent), "near-pairs")
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(((t,) for b in batches for t in b.column(0).to_pylist()), 0):
@@ -278,23 +285,24 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "
     holders = reps.join(wanted, "cls", "left_semi").select(F.col("rep").alias("doc_id"))
     held = rows.join(holders, rows.doc_id.eqNullSafe(holders.doc_id), "left_semi").select("text")
     sets = held.mapInArrow(contents, "cls long, hashes binary")
-    sets = store(sets, "contents")  # twice, or with others, where rows repeat a key
+    sets = keep(sets, "contents")  # twice, or with others, where rows repeat a key
 
     some = not crowd.isEmpty()
     if some:
-        prefix = _prefixes(crowd, sets, percent)
+        prefix = keep(_prefixes(crowd, sets, percent))
         pivot = prefix.groupBy("e").agg(F.min(F.struct("at", "cls", "size")).alias("p"), F.count("*").alias("n")).where("n > 1").select("e", "p")
         stars = prefix.join(pivot, "e").where("cls <> p.cls AND " + _allowed("size", "at", "p.size", "p.at", percent))
         stars = stars.select(F.least("cls", "p.cls").alias("u"), F.greatest("cls", "p.cls").alias("v")).distinct()
         near = near.union(_near(stars, reps, percent)).distinct()
-    found = store(_verify(near, sets, percent), "links")
-    group = components(found)
+    found = keep(_verify(near, sets, percent), "links")
+    group = keep(components(found))
     if some:
-        more = _apart(prefix, group, percent)
-        more = store(_verify(_near(more, reps, percent), sets, percent), "links")
+        placed = keep(_placed(prefix, group), "placed")
+        more = _apart(placed, percent)
+        more = keep(_verify(_near(more, reps, percent), sets, percent), "links")
         if not more.isEmpty():
             found = found.union(more)
-            group = components(found)
+            group = keep(components(found))
     group = group.select(F.col("node").alias("cls"), "component")
     of_component = reps.select("cls", "rep").join(group, "cls")
     least = of_component.groupBy("component").agg(F.min("rep").alias("least"))
@@ -305,12 +313,15 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "
         degree = found.union(found.select("v", "u")).groupBy(F.col("u").alias("cls")).agg(F.count("*").alias("n_links"))
         if some:
             of = group.join(crowd.select("cls"), "cls").groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-            crowded = store(group.join(of, "component", "left_semi"), "crowded")
+            crowded = keep(group.join(of, "component", "left_semi"), "crowded")
             degree = degree.join(crowded, "cls", "left_anti").union(_count_links(crowded.join(reps.select("cls", "size"), "cls"), sets, percent))
         named = named.join(degree, "cls", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
         columns.insert(3, "n_links")
     alone = described.where("cls IS NULL").withColumns({"n_copies": F.lit(1).cast("long"), "n_links": F.lit(0).cast("long"), "component_id": F.col("doc_id")})
-    return described.join(named, "cls").select(columns).union(alone.select(columns))
+    out = store(described.join(named, "cls").select(columns).union(alone.select(columns)), "groups")
+    for df in stored:
+        discard(df)
+    return out
 
 
 def _allowed(a: str, at: str, b: str, bt: str, percent: int) -> str:
@@ -389,13 +400,17 @@ def _prefixes(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _apart(prefix: DataFrame, group: DataFrame, percent: int) -> DataFrame:
+def _placed(prefix: DataFrame, group: DataFrame) -> DataFrame:
+    """prefix with the component of each class."""
+    where = prefix.join(group, F.col("cls") == F.col("node"), "left")
+    return where.select("e", "cls", "size", "at", F.coalesce("component", "cls").alias("component"))
+
+
+def _apart(where: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of classes that share an element of prefix, may link, and are in different components.
 
     Of an element's classes, those of its most frequent component meet only the others.
     """
-    where = prefix.join(group, F.col("cls") == F.col("node"), "left").select("e", "cls", "size", "at", F.coalesce("component", "cls").alias("component"))
-    where = store(where, "placed")
     counts = where.groupBy("e", "component").agg(F.count("*").alias("n")).groupBy("e").agg(F.count("*").alias("k"), F.max_by("component", "n").alias("most"))
     left = where.join(counts.where("k > 1"), "e")
     one, other = left.where("component <> most").alias("a"), left.alias("b")
