@@ -159,9 +159,47 @@ def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(docs, docs.join(good, "doc_id", "left_semi"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS a FROM p),
+f AS (
+  SELECT lang, size, array_to_string(list_slice(a, s, s + size - 1), ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, a, size, unnest(range(1, len(a) - size + 2)) AS s FROM w, (SELECT unnest(range(1, 5)) AS size) WHERE len(a) >= size)
+  GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE a >= 30),
+inside AS (
+  SELECT lang, sub AS phrase, max(a) AS most
+  FROM (SELECT lang, a, array_to_string(list_slice(w, s, s + k - 1), ' ') AS sub
+        FROM (SELECT *, unnest(range(1, size - k + 2)) AS s FROM c, (SELECT unnest([2, 3]) AS k) WHERE k < size))
+  GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase)
+  WHERE c.size > 1 AND NOT coalesce(CAST(most AS HUGEINT) * 100 >= CAST(c.a AS HUGEINT) * 80, FALSE)),
+cut AS (
+  SELECT lang, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS head, array_to_string(list_slice(w, k + 1, size), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM kept)),
+scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, k, x.a AS l, y.a AS r, CAST(CAST(cut.a AS HUGEINT) * 2000000 // (x.a + y.a) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.head JOIN f y ON y.lang = cut.lang AND y.phrase = cut.rest),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, CAST(n.n AS BIGINT) AS n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op8_decontamination": OP8_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op8_decontamination": OP8_SQL, "op11_collocations": OP11_SQL}
