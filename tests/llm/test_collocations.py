@@ -110,7 +110,7 @@ def test_bucket_counts_end_at_the_threshold(spark):
 
 def test_exact_scores_of_large_counts(spark):
     """Products beyond 64 bits."""
-    a, both = 9_000_000_000_000_000_001, 18_999_999_999_999_999_999
+    a, both = 9_000_000_000_000_000_001, 18_440_000_000_000_000_001
     row = spark.createDataFrame([(a, both // 2, both - both // 2)], "a long, l long, r long")
     exact = lambda c: F.col(c).cast("decimal(20,0)")
     got = row.withColumn("both", exact("l") + exact("r")).withColumn("whole", exact("a") * F.lit(co.SCALE).cast("decimal(7,0)")).selectExpr("whole div both").first()[0]
