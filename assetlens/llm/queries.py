@@ -197,6 +197,80 @@ SELECT lang, rank, phrase, a, l, r, CAST(n.n AS BIGINT) AS n, score FROM ranked
 """
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .private import KINDS, personal_spans, written_spans
+
+    found = personal_spans(table(spark, sf_dir, "documents"))
+    base = F.sha2(written_spans(F.col("base")).cast("binary"), 256)
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], base.alias("base_sha256"), written_spans(F.col("spans")).alias("spans"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k AS (SELECT * FROM (VALUES
+  (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
+  (2, 'card', '[0-9](?:[\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')) AS k(kind, name, pattern)),
+m AS (
+  SELECT r, kind, name, g, v, unnest(range(1, len(v) + 1)) AS i
+  FROM (
+    SELECT r, kind, name, string_split_regex(t, pattern) AS g, regexp_extract_all(t, pattern) AS v
+    FROM (SELECT d.*, 0 AS kind FROM d WHERE t LIKE '%@%' UNION ALL SELECT d.*, unnest([1, 2, 3]) FROM d) JOIN k USING (kind))
+  WHERE len(v) > 0),
+s AS (
+  SELECT r, kind, name, v[i] AS value, g[i] AS before, g[i + 1] AS after,
+         CAST(list_sum(list_transform(list_slice(g, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(v, 1, i - 1), lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM m),
+e AS (
+  SELECT *, start + length(value) AS stop, regexp_replace(value, '[^0-9]', '', 'g') AS dig
+  FROM s),
+b AS (
+  SELECT r, kind, name, start, stop, before, after, name || ':' || CASE WHEN kind < 2 THEN translate(value, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE dig END AS entity
+  FROM e
+  WHERE CASE kind WHEN 0 THEN TRUE
+    WHEN 1 THEN list_bool_and(list_transform(string_split(value, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND CAST('0' || right(ltrim(p, '0'), 3) AS INTEGER) <= 255))
+    WHEN 2 THEN length(dig) BETWEEN 14 AND 19 AND CAST(list_sum(list_transform(range(1, length(dig) + 1), lambda i:
+        CASE WHEN i % 2 = 1 THEN CAST(substr(dig, length(dig) + 1 - i, 1) AS INTEGER)
+             ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(substr(dig, length(dig) + 1 - i, 1) AS INTEGER) + 1] END)) AS BIGINT) % 10 = 0
+    ELSE length(dig) BETWEEN 10 AND 15 END),
+sides AS (
+  SELECT r, entity, right(before, 61) AS c, start - length(right(before, 61)) AS origin, TRUE AS head FROM b
+  UNION ALL SELECT r, entity, left(after, 61), stop, FALSE FROM b),
+pieces AS (
+  SELECT r, entity, c, origin, head, g, v, unnest(range(1, len(v) + 1)) AS i
+  FROM (SELECT *, string_split_regex(c, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS g, regexp_extract_all(c, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS v FROM sides)
+  WHERE len(v) > 0),
+near AS (
+  SELECT r, entity, term, origin + p AS start, origin + p + length(term) AS stop
+  FROM (
+    SELECT *, translate(v[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term,
+           CAST(list_sum(list_transform(list_slice(g, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(v, 1, i - 1), lambda x: length(x))), 0) AS BIGINT) AS p
+    FROM pieces)
+  WHERE length(c) <= 60 OR CASE WHEN head THEN p > 0 ELSE p + length(term) <= 60 END),
+co AS (SELECT entity, term, count(DISTINCT r) AS co FROM near GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+ed AS (SELECT entity, count(DISTINCT r) AS edf FROM near GROUP BY entity),
+td AS (
+  SELECT term, count(*) AS df
+  FROM (SELECT DISTINCT r, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d)
+  GROUP BY term),
+shown AS (
+  SELECT entity, term FROM co JOIN ed USING (entity) JOIN td USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d)
+  WHERE CAST(co AS DOUBLE) * CAST(co AS DOUBLE) * CAST(co AS DOUBLE) * CAST(co AS DOUBLE) * n
+     >= CAST(df AS DOUBLE) * CAST(df AS DOUBLE) * CAST(df AS DOUBLE) * CAST(df AS DOUBLE) * CAST(edf AS DOUBLE)),
+terms AS (
+  SELECT DISTINCT r, 4 AS kind, 'term' AS name, start, stop FROM near JOIN shown USING (entity, term)
+  WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = near.r AND b.start < near.stop AND b.stop > near.start)),
+every AS (SELECT r, kind, name, start, stop FROM b UNION ALL SELECT * FROM terms),
+a AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+         string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 4) AS base,
+         string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS spans
+  FROM every GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (r)
+"""
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import variants
 
@@ -240,4 +314,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op8_decontamination": OP8_SQL, "op11_collocations": OP11_SQL, "op13_spelling_variants": OP13_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op8_decontamination": OP8_SQL, "op11_collocations": OP11_SQL, "op12_personal_data": OP12_SQL, "op13_spelling_variants": OP13_SQL}
