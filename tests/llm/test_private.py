@@ -131,8 +131,8 @@ def test_terms_are_generalised_or_removed(spark):
 
 
 def test_overlapping_spans_are_replaced_once(spark):
-    out = pv.sanitised(frame(spark, [(1, "at +411111111111 10.0.0.12345678901 now"), (2, None), (2, "é 10.0.0.1é"), (3, "a@10.0.0.1")])).collect()
-    assert sorted(str(r.text) for r in out) == ["<email>", "None", "at <phone>.0.0.12345678901 now", "é <ip>é"]
+    out = pv.sanitised(frame(spark, [(1, "at +41 111 111 10.0.0.12 now"), (2, None), (2, "é 10.0.0.1é"), (3, "a@10.0.0.1")])).collect()
+    assert sorted(str(r.text) for r in out) == ["<email>", "None", "at <phone> now", "é <ip>é"]
 
 
 def test_empty_table(spark):
