@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The job under way, and paths of the tables that each job has stored.
+_job = [""]
+_made: dict[str, list[str]] = {}
+
+
+@contextmanager
+def job(docs: DataFrame, name: str) -> Iterator[None]:
+    """Tables stored inside are this job's. Those of other jobs go first, as their results are written by now, unless docs
+    reads one of them itself."""
+    read = set(_roots(docs))
+    for other in [j for j in _made if j != name]:
+        if read.isdisjoint(p.split("/")[-1] for p in _made[other]):
+            for path in _made.pop(other):
+                delete(docs.sparkSession, path)
+    _job[0] = name
+    try:
+        yield
+    finally:
+        _job[0] = ""
+
+
+def _roots(df: DataFrame) -> list[str]:
+    """Last parts of the paths of the file tables that df reads."""
+    out, leaves = [], df._jdf.queryExecution().analyzed().collectLeaves()
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            paths = leaf.relation().location().rootPaths()
+            out += [paths.apply(i).getName() for i in range(paths.size())]
+    return out
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs start from the files, whichever executor is lost."""
     path = scratch(df.sparkSession, name)
+    if _job[0]:
+        _made.setdefault(_job[0], []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path

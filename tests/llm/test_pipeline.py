@@ -89,3 +89,20 @@ def test_token_ids(stages):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         assert (doc_id, at, n, crc) == (k, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+def test_stages_leave_only_their_own_tables(spark):
+    """A stage deletes what earlier ones left, unless its documents are read from it."""
+    from pathlib import Path
+
+    from assetlens.functions.scratch import own_dir
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    path = own_dir(spark)
+    held = lambda: {p.name for p in Path(path.removeprefix("file://")).iterdir()}
+    near = cp.drop_near_duplicates(spark, docs, SF)
+    before = held()
+    lazy = cp.drop_contaminated(spark, near, SF)  # near is not written: what it reads stays
+    assert before <= held() and lazy.count() > 0
+    cp.mix_sources(spark, docs, SF).count()
+    assert any(n.startswith("rows-") for n in before) and not any(n.startswith("rows-") for n in before & held())
