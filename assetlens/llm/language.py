@@ -1,13 +1,14 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax, trained by SGD in numpy.
 
 A text's words (runs of letters) give their character n-grams, with word bounds; each n-gram hashes to a row of an
-embedding table; the mean of the rows goes through a linear softmax. The model is fitted on the driver from a bounded
+embedding table; the mean of the rows goes through a linear softmax. The model is fitted in one task from a bounded
 sample of labelled rows; prediction reads every whole text on the executors. The confidence is calibrated by a
 temperature, and texts below a calibrated threshold can be rejected.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -204,12 +205,18 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     span = F.substring("text", (F.pmod(u, room) + 1).cast("int"), F.lit(chars))
     drawn = labelled.join(F.broadcast(shares), "lang").where(u < F.col("share"))
     sample = drawn.select("lang", span.alias("text"), u.alias("u"), "k", (u / F.col("share")).alias("nth"))
-    got = sample.orderBy("nth", "u", "k", "lang", "text").limit(2 * int(wanted * len(counts))).collect()
-    by: dict[str, list[str]] = {}
-    for r in got:
-        by.setdefault(r.lang, []).append(r.text)
-    pairs = [(t, k) for k in sorted(by) for t in by[k][:each]]
-    return train([t for t, _ in pairs], [k for _, k in pairs])
+    sample = sample.orderBy("nth", "u", "k", "lang", "text").limit(2 * int(wanted * len(counts))).select("lang", "text")
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by: dict[str, list[str]] = {}
+        for b in batches:
+            for k, t in zip(b["lang"], b["text"]):
+                by.setdefault(k, []).append(t)
+        pairs = [(t, k) for k in sorted(by) for t in by[k][:each]]
+        yield pd.DataFrame({"model": [pickle.dumps(train([t for t, _ in pairs], [k for _, k in pairs]))]})
+
+    # The sample has a bound, so one task holds it; the driver gets the model alone.
+    return pickle.loads(sample.coalesce(1).mapInPandas(fitted, "model binary").first()[0])
 
 
 def identified(docs: DataFrame, model: LanguageModel, out: str, text: str = "text") -> DataFrame:
