@@ -9,7 +9,6 @@ import argparse
 import importlib
 import json
 import sys
-from dataclasses import asdict
 
 from .api import VERSION, Archive, manifest
 from .operators.place_run import load_results
@@ -100,7 +99,7 @@ def main(argv: list[str] | None = None) -> int:
     run = {
         "init": archive.init,
         "status": archive.status,
-        "crawl": lambda: asdict(archive.crawl(a.library, a.provider)),
+        "crawl": lambda: archive.crawl(a.library, a.provider).fields(),
         "classify": lambda: archive.classify(None if a.all else a.limit),
         "search": lambda: archive.search(query_words(a.query, a.words), a.limit),
         "timeline": lambda: archive.timeline(a.start, a.end, a.include_unlocated),

@@ -40,8 +40,8 @@ class Archive:
         name = snapshot.select("provider").first()[0] or provider
         return crawl(self.store, snapshot, library_path, name, started, at)
 
-    def classify(self, limit: int | None = 100, with_model: bool = False, call=None) -> dict[str, int]:
-        return classify.drain(self.store, with_model, limit, call)
+    def classify(self, limit: int | None = 100, with_model: bool = False, call: classify.Call | None = None, model_id: str = "local", prompt_version: str = "v1") -> dict:
+        return {"database": self.store.path, "limit": limit or 0, **classify.drain(self.store, with_model, limit, call, model_id, prompt_version)}
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
         return search.search(self.store.tables(), query, limit)

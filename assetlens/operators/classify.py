@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,9 +14,11 @@ from pyspark.sql.types import ArrayType, StringType
 from ..functions import text as T
 from ..functions.ids import stable_id
 from ..functions.scratch import written
-from .merge import replace_scope
+from .merge import keep_old, replace_scope
 
 RULE_SOURCE, RULE_MODEL = "archive_metadata", "metadata_rules_v1"
+#: Fixed values of evidence rows: kinds, and the version of what the rules are given.
+RULE_EVIDENCE, MODEL_EVIDENCE, INPUT_VERSION = "classification_input", "content_classification", "asset-resource-album.v1"
 #: Fixed values of the rule classifier: label, confidence, words that any of must occur in the keyword text.
 SIGNALS = (
     ("screenshot_candidate", 0.75, ("screenshot", "screen shot")),
@@ -88,8 +91,11 @@ def rules(rows: DataFrame) -> DataFrame:
 
 def classify_rules(assets: DataFrame, resources: DataFrame, albums: DataFrame) -> DataFrame:
     """visual_observation rows of the rule classifier."""
-    found = rules(inputs(assets, resources, albums))
-    return found.select(
+    return rule_rows(inputs(assets, resources, albums))
+
+
+def rule_rows(rows: DataFrame) -> DataFrame:
+    return rules(rows).select(
         stable_id("visual_observation", F.col("asset_id"), RULE_SOURCE, F.col("observation_type"), F.col("label")).alias("id"),
         "asset_id",
         "observation_type",
@@ -98,10 +104,27 @@ def classify_rules(assets: DataFrame, resources: DataFrame, albums: DataFrame) -
         F.lit("{}").alias("bounding_box_json"),
         F.lit(RULE_SOURCE).alias("source"),
         F.lit(RULE_MODEL).alias("model_id"),
-        stable_id("evidence", F.col("asset_id"), "visual_observation", F.concat_ws(":", "observation_type", "label")).alias("evidence_id"),
+        rule_evidence_id().alias("evidence_id"),
     )
 
 
+def rule_evidence_id() -> Column:
+    return stable_id("evidence", F.col("asset_id"), RULE_EVIDENCE, RULE_SOURCE, INPUT_VERSION)
+
+
+def rule_evidence(rows: DataFrame, at: str | Column) -> DataFrame:
+    """evidence_ref rows of inputs() rows (with needs_download, if the queue's is known): what the rules have seen of each asset."""
+    needs = F.col("needs_download") if "needs_download" in rows.columns else F.lit(False)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    seen = {
+        "album_count": size("albums"), "classified_at": F.lit(at) if isinstance(at, str) else at, "classifier": F.lit(RULE_SOURCE), "content_not_opened": F.lit(True), "creation_date": F.col("creation_date"), "favorite": F.col("favorite"),
+        "has_local_content": has_local_content(F.col("resources")), "height": F.col("height"), "hidden": F.col("hidden"), "input_version": F.lit(INPUT_VERSION), "media_subtypes": F.col("media_subtypes"), "media_type": F.col("media_type"),
+        "metadata_only": F.lit(True), "model_id": F.lit(RULE_MODEL), "needs_download": needs, "resource_count": size("resources"), "width": F.col("width"),
+    }
+    value = F.to_json(F.struct(*[v.alias(k) for k, v in seen.items()]))
+    return rows.select(rule_evidence_id().alias("id"), "asset_id", F.lit(RULE_EVIDENCE).alias("evidence_kind"), F.lit(RULE_SOURCE).alias("source"), F.concat("asset_id", F.lit("/classification/archive_metadata")).alias("pointer"), value.alias("value_json"))
+
+
 def queue(queue_rows: DataFrame, assets: DataFrame, with_model: bool = False, limit: int | None = 100) -> DataFrame:
     """What a run takes: pending rows first, then newest, then by id; with a model also rows that failed or lack content."""
     if limit is not None:
@@ -143,39 +166,87 @@ def unavailable(media_type: Column, resources: Column) -> Column:
     return F.when(media_type != "image", F.lit(True)).otherwise(~F.coalesce(F.exists(resources, lambda r: r["needs_download"]), F.lit(False)))
 
 
-def drain(store, with_model: bool = False, limit: int | None = 100, call: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None) -> dict[str, int]:
-    """Classify what the queue holds, and commit observations and states at once. Returns counters.
+#: What a model call answers for an image; a column that it leaves out is null.
+ANSWER = "asset_id string, response string, error string, endpoint string, image_bytes bigint, image_sha256 string, requests bigint, responses bigint"
+Call = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+
 
-    call, if given, is a mapInPandas function from (asset_id, path) to (asset_id, response, error).
+def answers(rows: DataFrame, call: Call) -> DataFrame:
+    """ANSWER rows, and path, of the images among inputs() rows; written, as a model that is asked again may answer otherwise.
+
+    An answer without a JSON object is an error.
     """
-    from .merge import merge
+    names = [c.split()[0] for c in ANSWER.split(", ")]
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in call(batches):
+            yield found.reindex(columns=names)
+
+    images = rows.where("media_type = 'image'").select("asset_id", content_image(F.col("resources")).alias("path")).where("path IS NOT NULL")
+    got = images.mapInPandas(asked, ANSWER)
+    bad = F.col("error").isNull() & payload_json(F.col("response")).isNull()
+    got = written(got.withColumn("error", F.when(bad, "the model's answer holds no JSON object").otherwise(F.col("error"))), "answers")
+    return got.join(images, "asset_id")
 
+
+def drain(store, with_model: bool = False, limit: int | None = 100, call: Call | None = None, model_id: str = "local", prompt_version: str = "v1", at: datetime | None = None) -> dict:
+    """Classify what the queue holds; commit observations, their evidence, the model run and states at once. Returns counters.
+
+    call, if given, is a mapInPandas function from (asset_id, path) to columns of ANSWER: asset_id, response and error at
+    least. Models are asked once. If other commits come between, the rest is made again on the new tables, without the
+    assets that were deleted, queued anew or classified meanwhile: those wait for the next run.
+    Only answers without error replace earlier observations, and only those of the same model.
+    """
+    now = (at or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+    model = with_model or call is not None
     t = store.tables()
-    taken = written(queue(t["classification_queue"], t["asset"], with_model or call is not None, limit).select("asset_id"), "queue")
-    chosen = t["asset"].join(taken, t["asset"].id == taken.asset_id, "left_semi")
-    rows = inputs(chosen, t["asset_resource"], t["album_membership"])
-    found = classify_rules(chosen, t["asset_resource"], t["album_membership"])
-    scope = taken.select("asset_id", F.lit(RULE_SOURCE).alias("source"), F.lit(RULE_MODEL).alias("model_id"))
-    changed = {"visual_observation": replace_scope(t["visual_observation"], found, scope, ["asset_id", "source", "model_id"])}
-    outcome = None
+    taken = queue(t["classification_queue"], t["asset"], model, limit)
+    taken = written(taken.select("asset_id", F.col("state").alias("_state"), F.col("updated_at").alias("_at"), "needs_download"), "taken")
+    given = None
     if call is not None:
-        asked = rows.select("asset_id", content_image(F.col("resources")).alias("path")).where("path IS NOT NULL")
-        # Written first: a model that is asked again may answer otherwise.
-        answered = written(asked.mapInPandas(call, "asset_id string, response string, error string"), "answers")
-        contents = observations(answered.where("error IS NULL").select("asset_id", "response"), "response")
-        model = model_rows(contents)
-        scope = taken.select("asset_id", F.lit(MODEL_SOURCE).alias("source"))
-        changed["model_observation"] = replace_scope(t["model_observation"], model, scope, ["asset_id", "source"])
-        changed["observation_term"] = replace_scope(t["observation_term"], term_rows(contents), scope, ["asset_id", "source"])
-        rows = rows.join(answered.select("asset_id", F.coalesce("error", F.lit("")).alias("outcome")), "asset_id", "left")
+        chosen = t["asset"].join(taken, t["asset"].id == taken.asset_id, "left_semi")
+        given = written(answers(inputs(chosen, t["asset_resource"], t["album_membership"]), call), "answers")
+    return store.transact(lambda tables: _classify(tables, taken, given, model, model_id, prompt_version, now))
+
+
+def _classify(t, taken: DataFrame, given: DataFrame | None, model: bool, model_id: str, prompt_version: str, now: str) -> dict:
+    """Put new versions of the tables that a run over the taken assets changes; its counters."""
+    from .merge import merge
+
+    q = t["classification_queue"]
+    same = q.join(taken, (q.asset_id == taken.asset_id) & q.state.eqNullSafe(taken._state) & q.updated_at.eqNullSafe(taken._at), "left_semi").select("asset_id")
+    chosen = live(t["asset"]).join(same, F.col("id") == F.col("asset_id"), "left_semi")
+    rows = written(inputs(chosen, t["asset_resource"], t["album_membership"]).join(taken.select("asset_id", "needs_download"), "asset_id"), "rows")
+    found = written(rule_rows(rows), "found")
+    scope = rows.select("asset_id", F.lit(RULE_SOURCE).alias("source"), F.lit(RULE_MODEL).alias("model_id"))
+    t.put("visual_observation", replace_scope(t["visual_observation"], found, scope, ["asset_id", "source", "model_id"]))
+    evidence = rule_evidence(rows, now)
+    out: dict = {"classifier": RULE_SOURCE, "model_id": RULE_MODEL, "input_version": INPUT_VERSION, "visual_observations_written": found.count()}
+    outcome, states_of = None, rows
+    if given is not None:
+        known = given.join(rows.select("asset_id"), "asset_id", "left_semi")
+        good = known.where("error IS NULL")
+        contents = observations(good.select("asset_id", "response"), "response")
+        made = written(model_rows(contents, model_id, prompt_version), "model")
+        scope = good.select("asset_id", F.lit(MODEL_SOURCE).alias("source"), F.lit(model_id).alias("model_id"))
+        on = ["asset_id", "source", "model_id"]
+        t.put("model_observation", replace_scope(t["model_observation"], made, scope, on))
+        t.put("observation_term", replace_scope(t["observation_term"], term_rows(contents, model_id, prompt_version), scope, on))
+        evidence = evidence.union(model_evidence(good, model_id, prompt_version, now))
+        run = written(model_run(known, rows.count(), model_id, prompt_version, now), "run")
+        t.put("model_run", merge(t["model_run"], run, ("id",), {"started_at": keep_old}))
+        states_of = rows.join(known.select("asset_id", F.coalesce("error", F.lit("")).alias("outcome")), "asset_id", "left")
         outcome = F.col("outcome")
-    states = next_states(rows, with_model or call is not None, outcome)
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    new = t["classification_queue"].drop("state", "reason", "updated_at").join(states, "asset_id").withColumn("updated_at", now)
-    changed["classification_queue"] = merge(t["classification_queue"], new.select(t["classification_queue"].columns), ("asset_id",))
+        met = known.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (("content_classified", F.col("error").isNull().cast("bigint")), ("content_classification_failures", F.col("error").isNotNull().cast("bigint")), ("requests", F.col("requests")), ("responses", F.col("responses")))]).first()
+        out |= {"local_model": model_id, "model_run_id": run.first().id, "content_classified": met.content_classified, "content_classification_failures": met.content_classification_failures, "content_observations_written": made.count(), "local_model_http_request_attempts": met.requests, "local_model_http_responses": met.responses}
+    t.put("evidence_ref", merge(t["evidence_ref"], evidence, ("id",)))
+    states = written(next_states(states_of, model, outcome).join(rows.select("asset_id", has_local_content(F.col("resources")).alias("local")), "asset_id"), "states")
+    new = q.drop("state", "reason", "updated_at").join(states.drop("local"), "asset_id").withColumn("updated_at", F.lit(now))
+    t.put("classification_queue", merge(q, new.select(q.columns), ("asset_id",)))
     counts = {r.state: r.n for r in states.groupBy("state").agg(F.count("*").alias("n")).collect()}
-    store.commit(changed)
-    return {"processed": sum(counts.values()), **counts}
+    total = sum(counts.values())
+    waiting = states.where("NOT local AND state <> 'content_unavailable'").count()
+    return {"processed": total, "metadata_classified": total, "waiting_for_local_content": waiting, **out, "states": counts}
 
 
 # Model payloads
@@ -223,10 +294,43 @@ def _typed(value: Column, kind: str, confidence: float, term_type: str) -> Colum
     return F.transform(F.coalesce(texts, F.array().cast("array<string>")), item)
 
 
+def model_evidence_id(model_id: str, prompt_version: str) -> Column:
+    return stable_id("evidence", F.col("asset_id"), MODEL_EVIDENCE, MODEL_SOURCE, model_id, prompt_version)
+
+
+def model_evidence(given: DataFrame, model_id: str, prompt_version: str, at: str) -> DataFrame:
+    """evidence_ref rows of answers() without error: what was sent where, and what came back."""
+    known = F.col("endpoint").isNotNull()
+    seen = {
+        "classified_at": F.lit(at), "classifier": F.lit(MODEL_SOURCE), "endpoint": F.col("endpoint"), "image_extension": F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)), "image_path_class": path_class(F.col("path")),
+        "image_sha256": F.col("image_sha256"), "image_transmitted": known, "model_id": F.lit(model_id), "parsed_response": payload_json(F.col("response")), "prompt_version": F.lit(prompt_version), "raw_response": F.col("response"),
+        "transmitted_image_bytes": F.col("image_bytes"),
+    }
+    value = F.to_json(F.struct(*[v.alias(k) for k, v in seen.items()]))
+    return given.select(model_evidence_id(model_id, prompt_version).alias("id"), "asset_id", F.lit(MODEL_EVIDENCE).alias("evidence_kind"), F.lit(MODEL_SOURCE).alias("source"), F.concat("asset_id", F.lit("/classification/local_multimodal")).alias("pointer"), value.alias("value_json"))
+
+
+def model_run(given: DataFrame, inputs_taken: int, model_id: str, prompt_version: str, at: str) -> DataFrame:
+    """The model_run row of a run: its answers and failures, the requests they took and the endpoints that answered."""
+    number = lambda c: F.coalesce(F.sum(F.expr(c).cast("bigint")), F.lit(0))
+    met = given.agg(
+        number("error IS NULL").alias("content_classified"), number("error IS NOT NULL").alias("failures"), number("requests").alias("http_request_attempts"), number("responses").alias("http_responses_received"),
+        F.array_sort(F.collect_set("endpoint")).alias("response_endpoints"),
+    )
+    value = F.to_json(F.struct("content_classified", "failures", "http_request_attempts", "http_responses_received", "response_endpoints", F.col("content_classified").alias("successful_classifications")))
+    return met.select(
+        stable_id("model_run", MODEL_SOURCE, model_id, prompt_version, at).alias("id"), F.lit(model_id).alias("model_id"), F.lit(MODEL_SOURCE).alias("source"), F.lit(prompt_version).alias("prompt_version"),
+        F.lit(at).alias("started_at"), F.lit(at).alias("completed_at"), F.lit(inputs_taken).cast("bigint").alias("input_count"), value.alias("metadata_json"),
+    )
+
+
+def model_observation_id(model_id: str, prompt_version: str) -> Column:
+    return stable_id("model_observation", F.col("asset_id"), MODEL_SOURCE, model_id, prompt_version, F.col("observation_type"), F.col("value_text"))
+
+
 def model_rows(contents: DataFrame, model_id: str = "local", prompt_version: str = "v1") -> DataFrame:
-    at = [F.col("asset_id"), MODEL_SOURCE, model_id, F.col("observation_type"), F.col("value_text")]
     return contents.select(
-        stable_id("model_observation", *at).alias("id"),
+        model_observation_id(model_id, prompt_version).alias("id"),
         "asset_id",
         "observation_type",
         "value_text",
@@ -235,16 +339,14 @@ def model_rows(contents: DataFrame, model_id: str = "local", prompt_version: str
         F.lit(MODEL_SOURCE).alias("source"),
         F.lit(model_id).alias("model_id"),
         F.lit(prompt_version).alias("prompt_version"),
-        stable_id("evidence", F.col("asset_id"), "model_observation", F.concat_ws(":", "observation_type", "value_text")).alias("evidence_id"),
+        model_evidence_id(model_id, prompt_version).alias("evidence_id"),
     )
 
 
-def term_rows(contents: DataFrame, model_id: str = "local") -> DataFrame:
-    at = [F.col("asset_id"), MODEL_SOURCE, model_id, F.col("observation_type"), F.col("value_text")]
-    rows = contents.select("asset_id", stable_id("model_observation", *at).alias("observation_id"), "term_type", F.explode(T.terms(F.col("value_text"))).alias("term"))
-    return rows.select(
-        stable_id("observation_term", F.col("observation_id"), F.col("term_type"), F.col("term")).alias("id"), "asset_id", "observation_id", "term", "term_type", F.lit(MODEL_SOURCE).alias("source"), F.lit(model_id).alias("model_id")
-    )
+def term_rows(contents: DataFrame, model_id: str = "local", prompt_version: str = "v1") -> DataFrame:
+    rows = contents.select("asset_id", model_observation_id(model_id, prompt_version).alias("observation_id"), "term_type", F.explode(T.terms(F.col("value_text"))).alias("term"))
+    at = stable_id("observation_term", F.col("asset_id"), F.col("observation_id"), F.col("term"))
+    return rows.select(at.alias("id"), "asset_id", "observation_id", "term", "term_type", F.lit(MODEL_SOURCE).alias("source"), F.lit(model_id).alias("model_id"))
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.ids import fingerprint, stable_id
+from ..functions.scratch import written
 from ..functions.times import instant
 from ..schemas import key_of
+from ..store import ArchiveError, Tables
 from .merge import first_wins, keep_old, last_of_each, merge, take_new
 from .migrate import PARENT_DELETED
 
@@ -30,6 +32,11 @@ class CrawlResult:
     snapshot_id: str
     source_library_id: str
     counters: dict[str, int] = field(default_factory=dict)
+    database: str = ""
+
+    def fields(self) -> dict:
+        """The result as one flat record."""
+        return {"database": self.database, "provider": self.provider, "snapshot_id": self.snapshot_id, "source_library_id": self.source_library_id, **self.counters}
 
 
 def iso(at: datetime) -> str:
@@ -154,7 +161,8 @@ def evidence_rows(rows: DataFrame, kind: str | Column, provider: str, pointer: C
 def crawl(store, snapshot: DataFrame, library_path: str, provider: str, started_at: datetime, completed_at: datetime | None = None) -> CrawlResult:
     """Merge one snapshot row into the archive and commit all tables at once.
 
-    The snapshot is validated before the archive is touched or created.
+    The snapshot is validated before the archive is touched or created. If another commit changes the tables meanwhile,
+    the merge is made again on them.
     """
     spark = store.spark
     completed = iso(completed_at or datetime.now(timezone.utc))
@@ -168,41 +176,60 @@ def crawl(store, snapshot: DataFrame, library_path: str, provider: str, started_
     if wrong is not None:
         raise ValueError(f"asset {wrong.local_identifier!r}: {wrong.error}")
     store.init()
-    t = store.tables()
     ids = spark.range(1).select(stable_id("source_library", library_path).alias("library"))
     library = ids.first().library
-    digest = flat.groupBy().agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("ord", F.sha2("local_identifier", 256).substr(1, 16))))), 256).alias("d")).first().d
-    snapshot_id = ids.select(stable_id("crawl_snapshot", library, completed, digest).alias("s")).first().s
+    snapshot_id = ids.select(stable_id("crawl_snapshot", library, completed, digest(flat))).first()[0]
     content = [c for c in named.columns if c not in ("ord", "error")]
     named = named.withColumn("asset_id", stable_id("asset", library, F.col("local_identifier"))).withColumn("source_fingerprint", fingerprint(*[F.col(c) for c in content]))
-    from ..store import ArchiveError
+    # Each merge, and each further try, starts from here and not from the provider again.
+    incoming = written(last_of_each(named, ("asset_id",), F.col("ord")), "incoming")
+    totals = flat.agg(
+        F.count("*").alias("assets_seen"), _count("greatest(size(resources), 0)").alias("resources_seen"), _count("greatest(size(albums), 0)").alias("album_memberships_seen"), _count("location IS NOT NULL").alias("locations_seen")
+    ).first().asDict()
+    head = snapshot.select("photos_version", F.to_json(F.struct(F.lit(provider).alias("provider"), "authorization_status", F.col("metadata").alias("snapshot_metadata"))).alias("meta")).first()
+
+    def work(t: Tables) -> dict[str, int]:
+        return _merge_snapshot(t, incoming, library, library_path, snapshot_id, provider, iso(started_at), completed, totals, head)
+
+    return CrawlResult(provider, snapshot_id, library, {**totals, **store.transact(work)}, store.path)
+
 
+def digest(flat: DataFrame) -> str:
+    """Of the assets' places and names: sums of hashes, so that no task sees them all."""
+    at = (F.col("ord").cast("string"), F.coalesce("local_identifier", F.lit("")))
+    total = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), *at).cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return flat.agg(F.concat_ws(":", F.count("*").cast("string"), total(1), total(2))).first()[0]
+
+
+def _count(condition: str) -> Column:
+    return F.coalesce(F.sum(F.expr(condition).cast("bigint")), F.lit(0))
+
+
+def _merge_snapshot(t: Tables, incoming: DataFrame, library: str, library_path: str, snapshot_id: str, provider: str, started: str, completed: str, totals: dict[str, int], head) -> dict[str, int]:
+    """Put new versions of the tables that a snapshot changes; its counters."""
+    spark = incoming.sparkSession
     if not t["crawl_snapshot"].where(F.col("id") == snapshot_id).isEmpty():
         raise ArchiveError("this snapshot is in the archive already")
-    incoming = last_of_each(named, ("asset_id",), F.col("ord"))
-    rows = delta(incoming, t["crawl_seen_asset"].where(F.col("source_library_id") == library), t["asset"])
-    kept = store.path + "/_work-" + snapshot_id.split(":")[1]
-    rows.write.mode("overwrite").parquet(kept)  # each later merge starts from here, and not from the provider again
-    rows = spark.read.schema(rows.schema).parquet(kept)
+    rows = written(delta(incoming, t["crawl_seen_asset"].where(F.col("source_library_id") == library), t["asset"]), "delta")
     gone = rows.where("deleted_at IS NOT NULL").select("asset_id", "deleted_at", "deletion_source")
 
     asset_rows = rows.withColumns({"id": F.col("asset_id"), "source_library_id": F.lit(library), "metadata_json": F.coalesce("metadata", F.lit("{}"))})
-    changed = {"asset": merge_assets(t["asset"], asset_rows.select(t["asset"].columns))}
+    t.put("asset", merge_assets(t["asset"], asset_rows.select(t["asset"].columns)))
     res = rows.select("asset_id", "local_identifier", *TOMB, F.posexplode("resources").alias("position", "r"))
     res = res.select(
         "asset_id", "local_identifier", "deleted_at", "deletion_source", F.when(F.col("deleted_at").isNotNull(), PARENT_DELETED).alias("deletion_reason"), "position",
         T.trim_white(F.col("r.source_identifier")).alias("source_identifier"), F.col("r.type").alias("resource_type"), "r.uti", "r.original_filename", "r.local_path", "r.availability", "r.file_size", F.col("r.stable_hash").alias("sha256"),
         "r.available_locally", "r.needs_download", F.coalesce("r.metadata", F.lit("{}")).alias("metadata_json"),
     )
-    res = resolve_resource_ids(res, t["asset_resource"])
-    changed["asset_resource"] = merge_resources(t["asset_resource"], res.select(t["asset_resource"].columns), gone)
+    res = written(resolve_resource_ids(res, t["asset_resource"]), "resources")
+    resources = t.put("asset_resource", merge_resources(t["asset_resource"], res.select(t["asset_resource"].columns), gone))
     here = rows.where("deleted_at IS NULL")
     albums = here.select("asset_id", F.explode("albums").alias("m")).select("asset_id", "m.*")
     albums = albums.withColumn("id", stable_id("album_membership", F.col("asset_id"), F.col("album_id"))).dropDuplicates(["id"])
-    changed["album_membership"] = merge(t["album_membership"], albums.select(t["album_membership"].columns), ("id",))
+    t.put("album_membership", merge(t["album_membership"], albums.select(t["album_membership"].columns), ("id",)))
     places = here.where("location IS NOT NULL").select("asset_id", "local_identifier", "location.*")
     loc = places.select(stable_id("location_observation", F.col("asset_id"), F.col("local_identifier")).alias("id"), "asset_id", "latitude", "longitude", "altitude", "horizontal_accuracy", F.lit(provider).alias("source"), stable_id("evidence", F.col("asset_id"), "location", F.col("local_identifier")).alias("evidence_id"))
-    changed["location_observation"] = merge(t["location_observation"], loc, ("id",))
+    t.put("location_observation", merge(t["location_observation"], loc, ("id",)))
 
     dead = F.col("deleted_at").isNotNull()
     pointer = F.concat(F.lit("asset:"), F.col("local_identifier"))
@@ -213,28 +240,21 @@ def crawl(store, snapshot: DataFrame, library_path: str, provider: str, started_
     evidence = evidence.union(evidence_rows(res, F.when(dead, "asset_resource_tombstone").otherwise("asset_resource"), provider, F.concat(pointer, F.lit("/resource:"), F.col("id"), tail), of_res))
     evidence = evidence.union(evidence_rows(albums, "album_membership", provider, F.concat(F.lit("album:"), F.col("album_id")), F.to_json(F.struct("album_id", "album_title", "album_kind"))))
     spots = places.select(stable_id("evidence", F.col("asset_id"), "location", F.col("local_identifier")).alias("id"), "asset_id", F.lit("location").alias("evidence_kind"), F.lit(provider).alias("source"), F.concat(pointer, F.lit("/location")).alias("pointer"), F.to_json(F.struct("latitude", "longitude", "altitude", "horizontal_accuracy")).alias("value_json"))
-    changed["evidence_ref"] = merge(t["evidence_ref"], evidence.union(spots).dropDuplicates(["id"]), ("id",))
+    t.put("evidence_ref", merge(t["evidence_ref"], evidence.union(spots).dropDuplicates(["id"]), ("id",)))
 
-    queued = requeue(rows.where("classify"), changed["asset_resource"], completed)
+    queued = written(requeue(rows.where("classify"), resources, completed), "queued")
     retired = gone.select(stable_id("classification_queue", F.col("asset_id")).alias("id"), "asset_id", F.lit("deleted").alias("state"), F.lit(PARENT_DELETED).alias("reason"), F.lit(False).alias("needs_download"), F.lit(completed).alias("updated_at"))
-    changed["classification_queue"] = merge(t["classification_queue"], queued.union(retired), key_of("classification_queue"), {"id": keep_old})
+    t.put("classification_queue", merge(t["classification_queue"], queued.union(retired), key_of("classification_queue"), {"id": keep_old}))
     seen = rows.select(F.lit(library).alias("source_library_id"), "asset_id", F.lit(snapshot_id).alias("first_seen_snapshot_id"), F.lit(snapshot_id).alias("last_seen_snapshot_id"), "source_fingerprint", F.lit(completed).alias("last_seen_at"))
-    changed["crawl_seen_asset"] = merge(t["crawl_seen_asset"], seen, key_of("crawl_seen_asset"), {"first_seen_snapshot_id": keep_old})
+    seen = t.put("crawl_seen_asset", merge(t["crawl_seen_asset"], seen, key_of("crawl_seen_asset"), {"first_seen_snapshot_id": keep_old}))
 
-    count = lambda c: F.coalesce(F.sum(F.expr(c).cast("bigint")), F.lit(0))
-    totals = flat.agg(
-        F.count("*").alias("assets_seen"), count("greatest(size(resources), 0)").alias("resources_seen"), count("greatest(size(albums), 0)").alias("album_memberships_seen"), count("location IS NOT NULL").alias("locations_seen")
-    ).first().asDict()
-    counts = rows.agg(*[count(f"delta = '{d}'").alias(f"assets_{d}") for d in DELTAS], count("newly_deleted").alias("assets_deleted"), count("restored").alias("assets_restored"), count("classify").alias("queued_for_classify")).first().asDict()
+    counts = rows.agg(*[_count(f"delta = '{d}'").alias(f"assets_{d}") for d in DELTAS], _count("newly_deleted").alias("assets_deleted"), _count("restored").alias("assets_restored"), _count("classify").alias("queued_for_classify")).first().asDict()
     counts["queued_needs_download"] = queued.where("needs_download").count()
-    counts["previously_seen_missing"] = missing(changed["crawl_seen_asset"], library, snapshot_id).count()
-    head = snapshot.select("photos_version", F.to_json(F.struct(F.lit(provider).alias("provider"), "authorization_status", F.col("metadata").alias("snapshot_metadata"))).alias("meta")).first()
+    counts["previously_seen_missing"] = missing(seen, library, snapshot_id).count()
     lib = spark.createDataFrame([(library, library_path, f"archive:crawl_snapshot/{snapshot_id}", completed, head.photos_version, head.meta)], t["source_library"].schema)
-    changed["source_library"] = merge(t["source_library"], lib, ("id",))
-    snap = spark.createDataFrame([(snapshot_id, library, iso(started_at), completed, provider, totals["assets_seen"], totals["resources_seen"], totals["album_memberships_seen"], totals["locations_seen"])], t["crawl_snapshot"].schema)
-    changed["crawl_snapshot"] = t["crawl_snapshot"].union(snap)
+    t.put("source_library", merge(t["source_library"], lib, ("id",)))
+    snap = spark.createDataFrame([(snapshot_id, library, started, completed, provider, totals["assets_seen"], totals["resources_seen"], totals["album_memberships_seen"], totals["locations_seen"])], t["crawl_snapshot"].schema)
+    t.put("crawl_snapshot", t["crawl_snapshot"].union(snap))
     cursor = spark.createDataFrame([(provider, "source_library", library, snapshot_id, completed)], t["sync_state"].schema)
-    changed["sync_state"] = merge(t["sync_state"], cursor, key_of("sync_state"))
-    store.commit(changed)
-    store._fs.delete(store._hpath(kept), True)
-    return CrawlResult(provider, snapshot_id, library, {**totals, **counts})
+    t.put("sync_state", merge(t["sync_state"], cursor, key_of("sync_state")))
+    return counts

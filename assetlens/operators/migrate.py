@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from typing import TYPE_CHECKING
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SCHEMA_VERSION, TABLES
-
-if TYPE_CHECKING:
-    from ..store import Store
+from ..store import Store, Tables
 
 PARENT_DELETED = "parent_asset_deleted"
 
@@ -41,4 +37,6 @@ def migrate(store: Store, meta: dict) -> None:
     changed = {name: read(name) for name in ("asset", "asset_resource") if name in meta["tables"]}
     if "asset_resource" in changed and "asset" in changed:
         changed["asset_resource"] = normalize_tombstones(changed["asset_resource"], changed["asset"])
-    store.commit(changed, {**meta, "version": SCHEMA_VERSION})
+    tables = Tables(store, {**meta, "version": SCHEMA_VERSION})
+    tables.read |= set(changed)
+    store.commit(changed, tables)

@@ -81,7 +81,7 @@ FROM asset a LEFT JOIN (SELECT * FROM asset_resource WHERE deleted_at IS NULL) r
 WHERE a.deleted_at IS NULL""",
     "visual_observation": f"""
 SELECT {sid("visual_observation", "asset_id", "'archive_metadata'", "observation_type", "label")} AS id, asset_id, observation_type, label, CAST(confidence AS DOUBLE) AS confidence,
-  {sid("evidence", "asset_id", "'visual_observation'", "observation_type || ':' || label")} AS evidence_id
+  {sid("evidence", "asset_id", "'classification_input'", "'archive_metadata'", "'asset-resource-album.v1'")} AS evidence_id
 FROM (SELECT asset_id, 'media_type' AS observation_type, media_type AS label, 1 AS confidence FROM inputs
   UNION ALL SELECT asset_id, 'content_availability', CASE WHEN has_local THEN 'local_content_available' ELSE 'local_content_unavailable' END, 1 FROM inputs
   UNION ALL SELECT asset_id, 'geometry', CASE WHEN width > height THEN 'landscape' WHEN height > width THEN 'portrait' ELSE 'square' END, 1 FROM inputs WHERE width > 0 AND height > 0

@@ -144,15 +144,31 @@ def classify_queue_order(v: Views) -> DataFrame:
 
 @query(
     "queue_states",
-    with_tables("inputs", "asset_resource")
-    + """SELECT i.asset_id, CASE WHEN media_type <> 'image' OR NOT coalesce(needs_download, false) THEN 'content_unavailable' ELSE 'metadata_classified' END AS state,
+    with_tables("asset")
+    + """, r AS (SELECT asset_id, event_id % 3 = 0 AS has_local, event_id % 3 <> 0 AND event_id % 2 = 0 AS needs_download
+  FROM ev WHERE event_id % 89 <> 0 AND event_id % (SELECT count(*) FROM documents) IN (SELECT doc_id FROM documents))
+SELECT a.id AS asset_id, CASE WHEN media_type <> 'image' OR NOT coalesce(needs_download, false) THEN 'content_unavailable' ELSE 'metadata_classified' END AS state,
   CASE WHEN media_type <> 'image' OR NOT coalesce(needs_download, false) THEN 'local_model_no_image_content' WHEN has_local THEN 'local_metadata_observations' ELSE 'local_metadata_observations_waiting_for_content' END AS reason
-FROM inputs i LEFT JOIN asset_resource r ON r.asset_id = i.asset_id AND r.deleted_at IS NULL""",
+FROM asset a LEFT JOIN r ON r.asset_id = a.id WHERE a.deleted_at IS NULL""",
 )
 def queue_states(v: Views) -> DataFrame:
     return C.next_states(C.inputs(v.asset(), v.asset_resource(), v.album_membership()), with_model=True)
 
 
+_EVIDENCE = sid("evidence", "asset_id", "'classification_input'", "'archive_metadata'", "'asset-resource-album.v1'")
+
+
+@query(
+    "rule_evidence",
+    with_tables("inputs")
+    + f"""SELECT {_EVIDENCE} AS id, asset_id, 'classification_input' AS evidence_kind, asset_id || '/classification/archive_metadata' AS pointer, media_type, CAST(width AS VARCHAR) AS width,
+  CAST(CAST(resource_type IS NOT NULL AS INTEGER) AS VARCHAR) AS resource_count, '1' AS album_count, CAST(has_local AS VARCHAR) AS has_local_content FROM inputs""",
+)
+def rule_evidence(v: Views) -> DataFrame:
+    e = C.rule_evidence(C.inputs(v.asset(), v.asset_resource(), v.album_membership()), "2024-01-01T00:00:00Z")
+    return e.select("id", "asset_id", "evidence_kind", "pointer", *[F.get_json_object("value_json", f"$.{k}").alias(k) for k in ("media_type", "width", "resource_count", "album_count", "has_local_content")])
+
+
 @query(
     "keyword_flags",
     """SELECT page_id, contains(k, 'screenshot') OR contains(k, 'screen shot') AS screenshot, regexp_matches(k, 'receipt|invoice|bill|statement') AS receipt, regexp_matches(k, 'document|passport|ticket|boarding pass|menu') AS document
@@ -181,6 +197,40 @@ def _payload(v: Views) -> DataFrame:
     return c.select("conv_id", "turn", text.alias("response"))
 
 
+_ANSWERS = f"SELECT conv_id || '/' || turn AS asset_id, response, CASE WHEN turn % 3 = 2 THEN 'refused' END AS error, 'http://' || role AS endpoint, turn + 1 AS requests FROM ({_PAYLOAD})"
+
+
+def _answers(v: Views) -> DataFrame:
+    """Answers of a model, one for each turn; every third call fails."""
+    made = _payload(v).join(v.raw("conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    return made.select(
+        F.concat_ws("/", "conv_id", "turn").alias("asset_id"), "response", F.when(F.col("turn") % 3 == 2, "refused").alias("error"), F.concat(F.lit("http://"), "role").alias("endpoint"),
+        F.lit(7).cast("bigint").alias("image_bytes"), F.lit("x").alias("image_sha256"), (F.col("turn") + 1).cast("bigint").alias("requests"), F.lit(1).cast("bigint").alias("responses"), F.lit("/a/derivatives/b.JPG").alias("path"),
+    )
+
+
+@query(
+    "model_evidence",
+    f"""SELECT {sid("evidence", "asset_id", "'content_classification'", "'local_model'", "'m'", "'v1'")} AS id, asset_id, asset_id || '/classification/local_multimodal' AS pointer, endpoint, '.jpg' AS image_extension, 'derivative' AS image_path_class,
+  '7' AS transmitted_image_bytes, md5(response) AS raw, md5(regexp_extract(response, '(?s)\\{{.*\\}}')) AS parsed FROM ({_ANSWERS}) WHERE error IS NULL""",
+)
+def model_evidence(v: Views) -> DataFrame:
+    e = C.model_evidence(_answers(v).where("error IS NULL"), "m", "v1", "2024-01-01T00:00:00Z")
+    of = lambda k: F.get_json_object("value_json", f"$.{k}")
+    fields = [of(k).alias(k) for k in ("endpoint", "image_extension", "image_path_class", "transmitted_image_bytes")]
+    return e.select("id", "asset_id", "pointer", *fields, F.md5(of("raw_response")).alias("raw"), F.md5(of("parsed_response")).alias("parsed"))
+
+
+@query(
+    "model_run",
+    f"""SELECT 'm' AS model_id, CAST(9 AS BIGINT) AS input_count, CAST(count(*) FILTER (error IS NULL) AS VARCHAR) AS content_classified, CAST(count(error) AS VARCHAR) AS failures,
+  CAST(sum(requests) AS VARCHAR) AS http_request_attempts, CAST(count(*) AS VARCHAR) AS http_responses_received, '["' || array_to_string(list_sort(list(DISTINCT endpoint)), '","') || '"]' AS response_endpoints FROM ({_ANSWERS})""",
+)
+def model_run(v: Views) -> DataFrame:
+    r = C.model_run(_answers(v), 9, "m", "v1", "2024-01-01T00:00:00Z")
+    return r.select("model_id", "input_count", *[F.get_json_object("metadata_json", f"$.{k}").alias(k) for k in ("content_classified", "failures", "http_request_attempts", "http_responses_received", "response_endpoints")])
+
+
 @query(
     "model_payload",
     f"""WITH p AS ({_PAYLOAD})
