@@ -44,7 +44,7 @@ class Archive:
         return {"database": self.store.path, "limit": limit or 0, **classify.drain(self.store, with_model, limit, call, model_id, prompt_version)}
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
-        return search.search(self.store.tables(), query, limit)
+        return search.indexed_search(self.store.tables(), query, limit)
 
     def timeline(self, start: str, end: str, include_unlocated: bool = False) -> DataFrame:
         timeline.bounds(start, end)  # arguments are checked before the archive is opened

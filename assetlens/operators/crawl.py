@@ -19,8 +19,10 @@ from ..functions.scratch import written
 from ..functions.times import instant
 from ..schemas import key_of
 from ..store import ArchiveError, Tables
+from .index import Index
 from .merge import first_wins, keep_old, last_of_each, merge, take_new
 from .migrate import PARENT_DELETED
+from .search import asset_documents
 
 TOMB = ("deleted_at", "deletion_source", "deletion_reason")
 DELTAS = ("new", "changed", "unchanged")
@@ -214,7 +216,7 @@ def _merge_snapshot(t: Tables, incoming: DataFrame, library: str, library_path:
     gone = rows.where("deleted_at IS NOT NULL").select("asset_id", "deleted_at", "deletion_source")
 
     asset_rows = rows.withColumns({"id": F.col("asset_id"), "source_library_id": F.lit(library), "metadata_json": F.coalesce("metadata", F.lit("{}"))})
-    t.put("asset", merge_assets(t["asset"], asset_rows.select(t["asset"].columns)))
+    assets = t.put("asset", merge_assets(t["asset"], asset_rows.select(t["asset"].columns)))
     res = rows.select("asset_id", "local_identifier", *TOMB, F.posexplode("resources").alias("position", "r"))
     res = res.select(
         "asset_id", "local_identifier", "deleted_at", "deletion_source", F.when(F.col("deleted_at").isNotNull(), PARENT_DELETED).alias("deletion_reason"), "position",
@@ -226,7 +228,7 @@ def _merge_snapshot(t: Tables, incoming: DataFrame, library: str, library_path:
     here = rows.where("deleted_at IS NULL")
     albums = here.select("asset_id", F.explode("albums").alias("m")).select("asset_id", "m.*")
     albums = albums.withColumn("id", stable_id("album_membership", F.col("asset_id"), F.col("album_id"))).dropDuplicates(["id"])
-    t.put("album_membership", merge(t["album_membership"], albums.select(t["album_membership"].columns), ("id",)))
+    members = t.put("album_membership", merge(t["album_membership"], albums.select(t["album_membership"].columns), ("id",)))
     places = here.where("location IS NOT NULL").select("asset_id", "local_identifier", "location.*")
     loc = places.select(stable_id("location_observation", F.col("asset_id"), F.col("local_identifier")).alias("id"), "asset_id", "latitude", "longitude", "altitude", "horizontal_accuracy", F.lit(provider).alias("source"), stable_id("evidence", F.col("asset_id"), "location", F.col("local_identifier")).alias("evidence_id"))
     t.put("location_observation", merge(t["location_observation"], loc, ("id",)))
@@ -242,6 +244,11 @@ def _merge_snapshot(t: Tables, incoming: DataFrame, library: str, library_path:
     spots = places.select(stable_id("evidence", F.col("asset_id"), "location", F.col("local_identifier")).alias("id"), "asset_id", F.lit("location").alias("evidence_kind"), F.lit(provider).alias("source"), F.concat(pointer, F.lit("/location")).alias("pointer"), F.to_json(F.struct("latitude", "longitude", "altitude", "horizontal_accuracy")).alias("value_json"))
     t.put("evidence_ref", merge(t["evidence_ref"], evidence.union(spots).dropDuplicates(["id"]), ("id",)))
 
+    index = Index(t, "asset_documents")
+    touched = rows.select(F.col("asset_id").alias("id"))
+    of = lambda df, c: df.join(touched.select(F.col("id").alias(c)), c, "left_semi") if index.exists else df
+    index.update(touched if index.exists else None, asset_documents(of(assets, "id"), of(resources, "asset_id"), of(members, "asset_id")))
+
     queued = written(requeue(rows.where("classify"), resources, completed), "queued")
     retired = gone.select(stable_id("classification_queue", F.col("asset_id")).alias("id"), "asset_id", F.lit("deleted").alias("state"), F.lit(PARENT_DELETED).alias("reason"), F.lit(False).alias("needs_download"), F.lit(completed).alias("updated_at"))
     t.put("classification_queue", merge(t["classification_queue"], queued.union(retired), key_of("classification_queue"), {"id": keep_old}))

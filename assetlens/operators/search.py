@@ -32,6 +32,13 @@ def clamp(limit: int) -> int:
     return LIMIT if limit <= 0 else min(limit, MOST)
 
 
+def starts_of(at: Column, phrase: list[str]) -> Column:
+    """How often the phrase starts, by a map from its words to their places: those places, moved back, in common."""
+    of_term = lambda t: F.coalesce(F.try_element_at(at, F.lit(t)), F.array().cast("array<int>"))
+    back = lambda k: lambda p: p - k
+    return F.size(reduce(F.array_intersect, [F.transform(of_term(t), back(k)) for k, t in enumerate(phrase)])) if phrase else F.lit(0)
+
+
 def asset_documents(assets: DataFrame, resources: DataFrame, albums: DataFrame) -> DataFrame:
     """id, title, body of every live asset: its own fields, its live resources and its albums, blanks left out."""
     r = live(resources).groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("resource_type", "original_filename", "id", "uti"))).alias("r"))
@@ -126,14 +133,7 @@ def indexed_bm25(spark: SparkSession, path: str, query: str) -> DataFrame:
     found = spark.read.parquet(f"{path}/postings").where(F.col("shard").isin([zlib.crc32(t.encode()) % SHARDS for t in terms]) & F.col("term").isin(terms))
     by = found.groupBy("id", "column").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))  # a term of the query each
 
-    def starts(phrase: list[str]) -> Column:
-        """Places at which the phrase starts: those of its words, moved back, in common."""
-        of_term = lambda t: F.coalesce(F.try_element_at("at", F.lit(t)), F.array().cast("array<int>"))
-        back = lambda k: lambda p: p - k
-        at = [F.transform(of_term(t), back(k)) for k, t in enumerate(phrase)]
-        return F.size(reduce(F.array_intersect, at)) if phrase else F.lit(0)
-
-    of = by.groupBy("id").agg(*[F.sum(starts(p)).alias(f"f{i}") for i, p in enumerate(wanted)])
+    of = by.groupBy("id").agg(*[F.sum(starts_of(F.col("at"), p)).alias(f"f{i}") for i, p in enumerate(wanted)])
     holding = [F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]
     stats = spark.read.parquet(f"{path}/stats").join(F.broadcast(of.agg(*holding)), F.lit(True))  # one row each
     hit = of.where(" AND ".join(f"f{i} > 0" for i in range(len(wanted)))).join(spark.read.parquet(f"{path}/lengths"), "id").join(F.broadcast(stats), F.lit(True))
@@ -169,10 +169,38 @@ def snippet(body: Column, query: str, words: int = SNIPPET) -> Column:
 def search(tables: dict[str, DataFrame], query: str, limit: int = LIMIT) -> DataFrame:
     """Asset hits by rank, then observation hits by rank; ties by id; live assets only."""
     limit = clamp(limit)
-    a = live(tables["asset"]).select(F.col("id").alias("asset_id"), "media_type", "creation_date")
     docs = asset_documents(tables["asset"], tables["asset_resource"], tables["album_membership"])
-    first = bm25(docs, query, ("title", "body")).join(a, F.col("id") == F.col("asset_id"))
+    first = bm25(docs, query, ("title", "body"))
+    seen = bm25(observation_documents(tables["visual_observation"], tables["model_observation"]), query, ("title", "body"))
+    return _hits(tables, query, limit, first, seen)
+
+
+def _hits(tables, query: str, limit: int, first: DataFrame, seen: DataFrame) -> DataFrame:
+    """Asset and observation documents (with rank) as one list."""
+    a = live(tables["asset"]).select(F.col("id").alias("asset_id"), "media_type", "creation_date")
+    first = first.join(a, F.col("id") == F.col("asset_id"))
     first = first.select(F.lit(0).alias("pass"), "rank", "asset_id", F.lit("asset").alias("hit_type"), F.lit(None).cast("string").alias("observation_id"), "media_type", "creation_date", "title", snippet(F.col("body"), query).alias("snippet"))
-    seen = bm25(observation_documents(tables["visual_observation"], tables["model_observation"]), query, ("title", "body")).join(a, "asset_id")
+    seen = seen.join(a, "asset_id")
     second = seen.select(F.lit(1).alias("pass"), "rank", "asset_id", F.lit("observation").alias("hit_type"), F.col("id").alias("observation_id"), "media_type", "creation_date", "title", snippet(F.col("body"), query).alias("snippet"))
     return first.unionByName(second).orderBy("pass", "rank", "asset_id", "observation_id").limit(limit)
+
+
+def indexed_search(tables, query: str, limit: int = LIMIT) -> DataFrame:
+    """search() by the archive's stored indexes: only the documents of the hits are made again, for their snippets."""
+    from .index import Index
+
+    limit = clamp(limit)
+    assets, seen = Index(tables, "asset_documents"), Index(tables, "observation_documents")
+    if not (assets.exists and seen.exists):
+        return search(tables, query, limit)
+    ids = live(tables["asset"]).select(F.col("id").alias("asset_id"))
+    of = tables["visual_observation"].select("id", "asset_id").union(tables["model_observation"].select("id", "asset_id"))
+    of_live = lambda rows: rows.join(of, "id").join(ids, "asset_id", "left_semi").drop("asset_id")
+    top = assets.best(query, limit).collect()  # a limit of MOST at most
+    more = seen.best(query, limit - len(top), of_live).collect() if len(top) < limit else []
+    spark = tables["asset"].sparkSession
+    frame = lambda rows: F.broadcast(spark.createDataFrame([(r.id, r.rank) for r in rows], "id string, rank double"))
+    some = lambda name, column, rows: tables[name].where(F.col(column).isin([r.id for r in rows]))
+    docs = asset_documents(some("asset", "id", top), some("asset_resource", "asset_id", top), some("album_membership", "asset_id", top)).join(frame(top), "id")
+    said = observation_documents(some("visual_observation", "id", more), some("model_observation", "id", more)).join(frame(more), "id")
+    return _hits(tables, query, limit, docs, said)
