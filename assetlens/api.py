@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .operators import classify, detail, evaluation, neighbors, place, place_card, place_run, search, status, timeline
 from .operators.crawl import CrawlResult, crawl
 from .sources.library import provider as provider_of
+from .schemas import BUCKETED
 from .store import ArchiveError, Store
 
 VERSION = "0.1.0"
@@ -50,10 +51,16 @@ class Archive:
         timeline.bounds(start, end)  # arguments are checked before the archive is opened
         return timeline.timeline(self.store.tables(), start, end, include_unlocated)
 
+    def _bucket_of(self, asset_id: str) -> dict[str, DataFrame]:
+        """The tables, those in buckets with the bucket of one asset alone."""
+        t = self.store.tables()
+        touched = t.touched(self.spark.createDataFrame([(asset_id,)], "asset_id string"))
+        return {name: t.part(name, touched) if name in BUCKETED else t[name] for name in t}
+
     def open(self, asset_id: str) -> DataFrame:
         if not asset_id.strip():
             raise ValueError("id is required")
-        found = detail.bundles(self.store.tables(), asset_id.strip())
+        found = detail.bundles(self._bucket_of(asset_id.strip()), asset_id.strip())
         if found.isEmpty():
             raise ArchiveError(f"asset not found: {asset_id}")
         return found
@@ -73,7 +80,7 @@ class Archive:
         return neighbors.neighbors(t, limit, asset_id.strip()).orderBy("rank")
 
     def export_choice(self, asset_id: str) -> DataFrame:
-        return detail.export_choice(self.store.table("asset_resource").where(F.col("asset_id") == asset_id))
+        return detail.export_choice(self._bucket_of(asset_id)["asset_resource"].where(F.col("asset_id") == asset_id))
 
     def backfill_keys(self) -> DataFrame:
         t = self.store.tables()

@@ -216,13 +216,15 @@ def _classify(t, taken: DataFrame, given: DataFrame | None, model: bool, model_i
     from .merge import merge
     from .search import observation_documents
 
-    q = t["classification_queue"]
+    touched = t.touched(taken)
+    old = {name: t.part(name, touched) for name in ("classification_queue", "asset", "asset_resource", "album_membership", "visual_observation", "model_observation", "observation_term", "evidence_ref")}
+    q = old["classification_queue"]
     same = q.join(taken, (q.asset_id == taken.asset_id) & q.state.eqNullSafe(taken._state) & q.updated_at.eqNullSafe(taken._at), "left_semi").select("asset_id")
-    chosen = live(t["asset"]).join(same, F.col("id") == F.col("asset_id"), "left_semi")
-    rows = written(inputs(chosen, t["asset_resource"], t["album_membership"]).join(taken.select("asset_id", "needs_download"), "asset_id"), "rows")
+    chosen = live(old["asset"]).join(same, F.col("id") == F.col("asset_id"), "left_semi")
+    rows = written(inputs(chosen, old["asset_resource"], old["album_membership"]).join(taken.select("asset_id", "needs_download"), "asset_id"), "rows")
     found = written(rule_rows(rows), "found")
     scope = rows.select("asset_id", F.lit(RULE_SOURCE).alias("source"), F.lit(RULE_MODEL).alias("model_id"))
-    visual, modelled = t.put("visual_observation", replace_scope(t["visual_observation"], found, scope, ["asset_id", "source", "model_id"])), t["model_observation"]
+    visual, modelled = t.put("visual_observation", replace_scope(old["visual_observation"], found, scope, ["asset_id", "source", "model_id"]), touched), old["model_observation"]
     evidence = rule_evidence(rows, now)
     out: dict = {"classifier": RULE_SOURCE, "model_id": RULE_MODEL, "input_version": INPUT_VERSION, "visual_observations_written": found.count()}
     outcome, states_of = None, rows
@@ -233,8 +235,8 @@ def _classify(t, taken: DataFrame, given: DataFrame | None, model: bool, model_i
         made = written(model_rows(contents, model_id, prompt_version), "model")
         scope = good.select("asset_id", F.lit(MODEL_SOURCE).alias("source"), F.lit(model_id).alias("model_id"))
         on = ["asset_id", "source", "model_id"]
-        modelled = t.put("model_observation", replace_scope(t["model_observation"], made, scope, on))
-        t.put("observation_term", replace_scope(t["observation_term"], term_rows(contents, model_id, prompt_version), scope, on))
+        modelled = t.put("model_observation", replace_scope(old["model_observation"], made, scope, on), touched)
+        t.put("observation_term", replace_scope(old["observation_term"], term_rows(contents, model_id, prompt_version), scope, on), touched)
         evidence = evidence.union(model_evidence(good, model_id, prompt_version, now))
         run = written(model_run(known, rows.count(), model_id, prompt_version, now), "run")
         t.put("model_run", merge(t["model_run"], run, ("id",), {"started_at": keep_old}))
@@ -242,14 +244,17 @@ def _classify(t, taken: DataFrame, given: DataFrame | None, model: bool, model_i
         outcome = F.col("outcome")
         met = known.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (("content_classified", F.col("error").isNull().cast("bigint")), ("content_classification_failures", F.col("error").isNotNull().cast("bigint")), ("requests", F.col("requests")), ("responses", F.col("responses")))]).first()
         out |= {"local_model": model_id, "model_run_id": run.first().id, "content_classified": met.content_classified, "content_classification_failures": met.content_classification_failures, "content_observations_written": made.count(), "local_model_http_request_attempts": met.requests, "local_model_http_responses": met.responses}
-    t.put("evidence_ref", merge(t["evidence_ref"], evidence, ("id",)))
+    t.put("evidence_ref", merge(old["evidence_ref"], evidence, ("id",)), touched)
     index = Index(t, "observation_documents")
-    of = lambda df: df.join(same, "asset_id", "left_semi") if index.exists else df
-    ids = reduce(DataFrame.union, [of(df).select("id") for df in (t["visual_observation"], t["model_observation"], visual, modelled)])
-    index.update(ids if index.exists else None, observation_documents(of(visual), of(modelled)))
+    if index.exists:
+        of = lambda df: df.join(same, "asset_id", "left_semi")
+        ids = reduce(DataFrame.union, [of(df).select("id") for df in (old["visual_observation"], old["model_observation"], visual, modelled)])
+        index.update(ids, observation_documents(of(visual), of(modelled)))
+    else:
+        index.update(None, observation_documents(t.latest("visual_observation"), t.latest("model_observation")))
     states = written(next_states(states_of, model, outcome).join(rows.select("asset_id", has_local_content(F.col("resources")).alias("local")), "asset_id"), "states")
     new = q.drop("state", "reason", "updated_at").join(states.drop("local"), "asset_id").withColumn("updated_at", F.lit(now))
-    t.put("classification_queue", merge(q, new.select(q.columns), ("asset_id",)))
+    t.put("classification_queue", merge(q, new.select(q.columns), ("asset_id",)), touched)
     counts = {r.state: r.n for r in states.groupBy("state").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     waiting = states.where("NOT local AND state <> 'content_unavailable'").count()

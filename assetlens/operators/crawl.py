@@ -212,26 +212,28 @@ def _merge_snapshot(t: Tables, incoming: DataFrame, library: str, library_path:
     spark = incoming.sparkSession
     if not t["crawl_snapshot"].where(F.col("id") == snapshot_id).isEmpty():
         raise ArchiveError("this snapshot is in the archive already")
-    rows = written(delta(incoming, t["crawl_seen_asset"].where(F.col("source_library_id") == library), t["asset"]), "delta")
+    touched = t.touched(incoming)
+    old = {name: t.part(name, touched) for name in ("crawl_seen_asset", "asset", "asset_resource", "album_membership", "location_observation", "evidence_ref", "classification_queue")}
+    rows = written(delta(incoming, old["crawl_seen_asset"].where(F.col("source_library_id") == library), old["asset"]), "delta")
     gone = rows.where("deleted_at IS NOT NULL").select("asset_id", "deleted_at", "deletion_source")
 
     asset_rows = rows.withColumns({"id": F.col("asset_id"), "source_library_id": F.lit(library), "metadata_json": F.coalesce("metadata", F.lit("{}"))})
-    assets = t.put("asset", merge_assets(t["asset"], asset_rows.select(t["asset"].columns)))
+    assets = t.put("asset", merge_assets(old["asset"], asset_rows.select(old["asset"].columns)), touched)
     res = rows.select("asset_id", "local_identifier", *TOMB, F.posexplode("resources").alias("position", "r"))
     res = res.select(
         "asset_id", "local_identifier", "deleted_at", "deletion_source", F.when(F.col("deleted_at").isNotNull(), PARENT_DELETED).alias("deletion_reason"), "position",
         T.trim_white(F.col("r.source_identifier")).alias("source_identifier"), F.col("r.type").alias("resource_type"), "r.uti", "r.original_filename", "r.local_path", "r.availability", "r.file_size", F.col("r.stable_hash").alias("sha256"),
         "r.available_locally", "r.needs_download", F.coalesce("r.metadata", F.lit("{}")).alias("metadata_json"),
     )
-    res = written(resolve_resource_ids(res, t["asset_resource"]), "resources")
-    resources = t.put("asset_resource", merge_resources(t["asset_resource"], res.select(t["asset_resource"].columns), gone))
+    res = written(resolve_resource_ids(res, old["asset_resource"]), "resources")
+    resources = t.put("asset_resource", merge_resources(old["asset_resource"], res.select(old["asset_resource"].columns), gone), touched)
     here = rows.where("deleted_at IS NULL")
     albums = here.select("asset_id", F.explode("albums").alias("m")).select("asset_id", "m.*")
     albums = albums.withColumn("id", stable_id("album_membership", F.col("asset_id"), F.col("album_id"))).dropDuplicates(["id"])
-    members = t.put("album_membership", merge(t["album_membership"], albums.select(t["album_membership"].columns), ("id",)))
+    members = t.put("album_membership", merge(old["album_membership"], albums.select(old["album_membership"].columns), ("id",)), touched)
     places = here.where("location IS NOT NULL").select("asset_id", "local_identifier", "location.*")
     loc = places.select(stable_id("location_observation", F.col("asset_id"), F.col("local_identifier")).alias("id"), "asset_id", "latitude", "longitude", "altitude", "horizontal_accuracy", F.lit(provider).alias("source"), stable_id("evidence", F.col("asset_id"), "location", F.col("local_identifier")).alias("evidence_id"))
-    t.put("location_observation", merge(t["location_observation"], loc, ("id",)))
+    t.put("location_observation", merge(old["location_observation"], loc, ("id",)), touched)
 
     dead = F.col("deleted_at").isNotNull()
     pointer = F.concat(F.lit("asset:"), F.col("local_identifier"))
@@ -242,22 +244,25 @@ def _merge_snapshot(t: Tables, incoming: DataFrame, library: str, library_path:
     evidence = evidence.union(evidence_rows(res, F.when(dead, "asset_resource_tombstone").otherwise("asset_resource"), provider, F.concat(pointer, F.lit("/resource:"), F.col("id"), tail), of_res))
     evidence = evidence.union(evidence_rows(albums, "album_membership", provider, F.concat(F.lit("album:"), F.col("album_id")), F.to_json(F.struct("album_id", "album_title", "album_kind"))))
     spots = places.select(stable_id("evidence", F.col("asset_id"), "location", F.col("local_identifier")).alias("id"), "asset_id", F.lit("location").alias("evidence_kind"), F.lit(provider).alias("source"), F.concat(pointer, F.lit("/location")).alias("pointer"), F.to_json(F.struct("latitude", "longitude", "altitude", "horizontal_accuracy")).alias("value_json"))
-    t.put("evidence_ref", merge(t["evidence_ref"], evidence.union(spots).dropDuplicates(["id"]), ("id",)))
+    t.put("evidence_ref", merge(old["evidence_ref"], evidence.union(spots).dropDuplicates(["id"]), ("id",)), touched)
 
     index = Index(t, "asset_documents")
-    touched = rows.select(F.col("asset_id").alias("id"))
-    of = lambda df, c: df.join(touched.select(F.col("id").alias(c)), c, "left_semi") if index.exists else df
-    index.update(touched if index.exists else None, asset_documents(of(assets, "id"), of(resources, "asset_id"), of(members, "asset_id")))
+    ids = rows.select(F.col("asset_id").alias("id"))
+    if index.exists:
+        only = lambda df, c: df.join(ids.select(F.col("id").alias(c)), c, "left_semi")
+        index.update(ids, asset_documents(only(assets, "id"), only(resources, "asset_id"), only(members, "asset_id")))
+    else:
+        index.update(None, asset_documents(t.latest("asset"), t.latest("asset_resource"), t.latest("album_membership")))
 
     queued = written(requeue(rows.where("classify"), resources, completed), "queued")
     retired = gone.select(stable_id("classification_queue", F.col("asset_id")).alias("id"), "asset_id", F.lit("deleted").alias("state"), F.lit(PARENT_DELETED).alias("reason"), F.lit(False).alias("needs_download"), F.lit(completed).alias("updated_at"))
-    t.put("classification_queue", merge(t["classification_queue"], queued.union(retired), key_of("classification_queue"), {"id": keep_old}))
+    t.put("classification_queue", merge(old["classification_queue"], queued.union(retired), key_of("classification_queue"), {"id": keep_old}), touched)
     seen = rows.select(F.lit(library).alias("source_library_id"), "asset_id", F.lit(snapshot_id).alias("first_seen_snapshot_id"), F.lit(snapshot_id).alias("last_seen_snapshot_id"), "source_fingerprint", F.lit(completed).alias("last_seen_at"))
-    seen = t.put("crawl_seen_asset", merge(t["crawl_seen_asset"], seen, key_of("crawl_seen_asset"), {"first_seen_snapshot_id": keep_old}))
+    t.put("crawl_seen_asset", merge(old["crawl_seen_asset"], seen, key_of("crawl_seen_asset"), {"first_seen_snapshot_id": keep_old}), touched)
 
     counts = rows.agg(*[_count(f"delta = '{d}'").alias(f"assets_{d}") for d in DELTAS], _count("newly_deleted").alias("assets_deleted"), _count("restored").alias("assets_restored"), _count("classify").alias("queued_for_classify")).first().asDict()
     counts["queued_needs_download"] = queued.where("needs_download").count()
-    counts["previously_seen_missing"] = missing(seen, library, snapshot_id).count()
+    counts["previously_seen_missing"] = missing(t.latest("crawl_seen_asset"), library, snapshot_id).count()
     lib = spark.createDataFrame([(library, library_path, f"archive:crawl_snapshot/{snapshot_id}", completed, head.photos_version, head.meta)], t["source_library"].schema)
     t.put("source_library", merge(t["source_library"], lib, ("id",)))
     snap = spark.createDataFrame([(snapshot_id, library, started, completed, provider, totals["assets_seen"], totals["resources_seen"], totals["album_memberships_seen"], totals["locations_seen"])], t["crawl_snapshot"].schema)

@@ -41,6 +41,12 @@ KEYS: dict[str, tuple[str, ...]] = {
     "classification_queue": ("asset_id",),
 }
 
+#: Tables that are stored in buckets of the asset's id, and the column that has it.
+BUCKETED: dict[str, str] = {
+    "asset": "id",
+    **dict.fromkeys(("crawl_seen_asset", "classification_queue", "asset_resource", "album_membership", "location_observation", "visual_observation", "text_observation", "face_observation", "model_observation", "observation_term", "evidence_ref"), "asset_id"),
+}
+
 SNAPSHOT_ASSET = (
     "struct<local_identifier: string, media_type: string, media_subtypes: string, creation_date: string, modification_date: string, added_date: string, "
     "timezone_name: string, width: bigint, height: bigint, duration_seconds: double, favorite: boolean, hidden: boolean, burst_identifier: string, "
