@@ -3,7 +3,8 @@
 Everything works on all sources at once; one source is a filter. A kind whose order of targets doesn't depend on the
 source keeps, of each group, only the targets that can still be among the first 4 * limit of any source, so that a
 group of n members gives n * (4 * limit + 1) pairs and not n * n. Neighbors in time are the nearest in order of time;
-neighbors in place are found once for each place that has assets, of which only as many first ones stay.
+neighbors in place are found once for each place that has assets, of which only as many first ones stay, through cells
+that get smaller where places are dense.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ids import stable_id
+from ..functions.scratch import written
 from ..functions.times import julian_day, seconds_apart
 from .classify import live
+from .place_tree import finite, nearest
 from .range_join import with_nearest, within_1d, within_2d
 
 LIMIT, MOST = 20, 100
@@ -99,16 +102,23 @@ def nearby_time(assets: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def nearby_location(assets: DataFrame, locations: DataFrame, most: int | None = None) -> DataFrame:
-    """An asset has one location, as the merge writes it."""
+    """An asset has one location, as the merge writes it. Places that are null or not finite are near nothing."""
+    locations = locations.where(finite("latitude", "longitude"))
     a = live(assets).select(F.col("id").alias("target_id"), "creation_date")
     s = locations.select(F.col("asset_id").alias("source_id"), F.col("latitude").alias("slat"), F.col("longitude").alias("slon"), F.col("evidence_id").alias("se"))
     t = locations.select(F.col("asset_id").alias("target_id"), F.col("latitude").alias("tlat"), F.col("longitude").alias("tlon"), F.col("evidence_id").alias("te")).join(a, "target_id")
-    dlat, dlon = F.abs(F.col("slat") - F.col("tlat")), F.abs(F.col("slon") - F.col("tlon"))
-    places = s if most is None else s.select("slat", "slon").distinct()
-    pairs = within_2d(places, _few_targets(t, ["tlat", "tlon"], most), ("slat", "slon"), ("tlat", "tlon"), DEGREE_CELL, (dlat <= DEGREES) & (dlon <= DEGREES))
-    pairs = pairs.withColumn("dlat", dlat).withColumn("dlon", dlon).withColumn("apart", dlat + dlon)
-    if most is not None:
-        pairs = s.join(_few_targets(pairs, ["slat", "slon"], most, "apart", "creation_date", "target_id"), ["slat", "slon"])
+    if most is None:
+        dlat, dlon = F.abs(F.col("slat") - F.col("tlat")), F.abs(F.col("slon") - F.col("tlon"))
+        pairs = within_2d(s, t, ("slat", "slon"), ("tlat", "tlon"), DEGREE_CELL, (dlat <= DEGREES) & (dlon <= DEGREES))
+        pairs = pairs.withColumn("dlat", dlat).withColumn("dlon", dlon).withColumn("apart", dlat + dlon)
+    else:
+        # Of one place, its first targets; around each place, the nearest places that hold all that count.
+        first = _few_targets(t, ["tlat", "tlon"], most).groupBy("tlat", "tlon").agg(F.collect_list(F.struct("creation_date", "target_id", "te")).alias("ts")).toDF("lat", "lon", "ts")
+        places = s.select(F.col("slat").alias("lat"), F.col("slon").alias("lon")).distinct().join(first, ["lat", "lon"], "left")
+        places = written(places.withColumn("n", F.coalesce(F.size("ts"), F.lit(0))), "places")
+        near = nearest(places.select("lat", "lon", "n"), most + 1, DEGREES, DEGREE_CELL)
+        rows = near.join(places.select(F.col("lat").alias("tlat"), F.col("lon").alias("tlon"), F.explode("ts").alias("x")), ["tlat", "tlon"]).select("*", "x.*").drop("x")
+        pairs = s.join(_few_targets(rows, ["slat", "slon"], most, "apart", "creation_date", "target_id"), ["slat", "slon"])
     pairs = pairs.where("source_id <> target_id")
     metres = (F.col("dlat") + F.col("dlon")) * METRES
     weight = F.when(metres <= 100, 0.75).when(metres <= 500, 0.65).otherwise(0.5)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from assetlens.functions import text as T
 from assetlens.operators import neighbors as N
-from assetlens.operators import range_join, search
+from assetlens.operators import place_tree, range_join, search
 
 MOST = 6
 
@@ -42,6 +42,36 @@ def test_bounded_pairs_give_the_same_first_ones(spark, monkeypatch, seed, hot):
     assert N.nearby_time(a.where("false"), MOST).count() == 0 and N.nearby_location(a.where("false"), loc, MOST).count() == 0
 
 
+def dense(seed, n):
+    """Different places: some spread out, a crowd, a denser one in its middle, rows of equal distance, and places apart."""
+    rng = random.Random(seed)
+    at = lambda x, y, d: (round(x + rng.uniform(-d, d), 9), round(y + rng.uniform(-d, d), 9))
+    spots = {at(*rng.choice([(52, 4, 0.03), (52, 4, 0.003), (52.001, 4.001, 0.00004), (-0.0001, 0.0, 0.0004)])) for _ in range(n)}
+    return sorted(spots | {(52.0 + i * 0.0005, 4.0) for i in range(40)} | {(10.0, 10.0), (10.0099, 10.0), (-33.0, 151.0)})
+
+
+@pytest.mark.parametrize("crowd,most", [(1, 6), (1, 2), (6, 6)])
+def test_crowded_places_give_the_same_first_ones(spark, monkeypatch, crowd, most):
+    monkeypatch.setattr(place_tree, "CROWD", crowd)
+    monkeypatch.setitem(globals(), "MOST", most)
+    places = dense(crowd + most, 260)
+    rng = random.Random(most)
+    rows = [(f"a{i:04}", *places[i % len(places)], f"e{i}") for i in range(int(len(places) * 1.3))] + [("null1", None, 4.0, "e"), ("null2", 52.0, None, "e"), ("nan", float("nan"), 4.0, "e"), ("inf", 52.0, float("inf"), "e")]
+    a = spark.createDataFrame([(r[0], r[0], f"2026-01-01T00:00:{rng.randrange(20):02}Z", "2026-02-01T00:00:00Z" if i % 5 == 2 else None) for i, r in enumerate(rows)], "id string, local_identifier string, creation_date string, deleted_at string")
+    loc = spark.createDataFrame(rows, "asset_id string, latitude double, longitude double, evidence_id string")
+    assert top(N.nearby_location(a, loc, most)) == top(N.nearby_location(a, loc))
+
+
+def test_a_place_in_a_crowd_meets_few_others(spark):
+    met = {}
+    for n in (4000, 16000):
+        rng = random.Random(n)
+        crowd = {(52 + rng.uniform(0, 0.01), 4 + rng.uniform(0, 0.01)) for _ in range(n)}
+        df = spark.createDataFrame([(*p, 1) for p in crowd], "lat double, lon double, n int")
+        met[n] = place_tree.met(df, 81, N.DEGREES, N.DEGREE_CELL).count() / len(crowd)
+    assert max(met.values()) < 500, met
+
+
 def test_places_in_order(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("v")).repartition(5)
     assert {(r.v, r._index) for r in range_join.in_order(df, "v").collect()} == {(i, i) for i in range(1000)}
