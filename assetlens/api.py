@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import classify, detail, evaluation, neighbors, place, place_card, place_run, search, status, timeline
-from .operators.crawl import CrawlResult, crawl
+from .operators.crawl import CrawlResult, Header, crawl, crawl_assets
+from .sources.library import TablesProvider
 from .sources.library import provider as provider_of
 from .schemas import BUCKETED
 from .store import ArchiveError, Store
@@ -37,7 +38,10 @@ class Archive:
 
     def crawl(self, library_path: str, provider: str = "auto", at: datetime | None = None) -> CrawlResult:
         started = at or datetime.now(timezone.utc)
-        snapshot = provider_of(provider).snapshot(self.spark, library_path)
+        source = provider_of(provider)
+        if isinstance(source, TablesProvider):
+            return crawl_assets(self.store, source.assets(self.spark, library_path), Header("", "", "{}"), library_path, provider, started, at)
+        snapshot = source.snapshot(self.spark, library_path)
         name = snapshot.select("provider").first()[0] or provider
         return crawl(self.store, snapshot, library_path, name, started, at)
 

@@ -6,8 +6,10 @@ and one keyed merge per table. Duplicates of an asset within a snapshot count on
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,6 +43,14 @@ class CrawlResult:
         return {"database": self.database, "provider": self.provider, "snapshot_id": self.snapshot_id, "source_library_id": self.source_library_id, **self.counters}
 
 
+class Header(NamedTuple):
+    """What a snapshot says besides its assets."""
+
+    photos_version: str | None
+    authorization_status: str | None
+    metadata: str | None
+
+
 def iso(at: datetime) -> str:
     return at.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ").replace(".000000Z", "Z")
 
@@ -161,14 +171,22 @@ def evidence_rows(rows: DataFrame, kind: str | Column, provider: str, pointer: C
 
 
 def crawl(store, snapshot: DataFrame, library_path: str, provider: str, started_at: datetime, completed_at: datetime | None = None) -> CrawlResult:
-    """Merge one snapshot row into the archive and commit all tables at once.
+    """Merge one snapshot row into the archive and commit all tables at once."""
+    head = snapshot.select("photos_version", "authorization_status", "metadata").first()
+    header = Header(head.photos_version, head.authorization_status, head.metadata)
+    return crawl_assets(store, explode_assets(snapshot), header, library_path, provider, started_at, completed_at)
+
+
+def crawl_assets(store, assets: DataFrame, header: Header, library_path: str, provider: str, started_at: datetime, completed_at: datetime | None = None) -> CrawlResult:
+    """Merge a snapshot given as one row per asset, with its place (ord) in an order in which the last row of a repeated
+    identifier counts: no task holds all assets.
 
     The snapshot is validated before the archive is touched or created. If another commit changes the tables meanwhile,
     the merge is made again on them.
     """
     spark = store.spark
     completed = iso(completed_at or datetime.now(timezone.utc))
-    flat = explode_assets(snapshot)
+    flat = written(assets, "assets")
     bad = invalid_resources(flat).first()
     if bad is not None:
         what = "a resource without a stable source identifier" if bad.source_identifier == "" else f"duplicate resource source identifier {bad.source_identifier!r}"
@@ -188,10 +206,11 @@ def crawl(store, snapshot: DataFrame, library_path: str, provider: str, started_
     totals = flat.agg(
         F.count("*").alias("assets_seen"), _count("greatest(size(resources), 0)").alias("resources_seen"), _count("greatest(size(albums), 0)").alias("album_memberships_seen"), _count("location IS NOT NULL").alias("locations_seen")
     ).first().asDict()
-    head = snapshot.select("photos_version", F.to_json(F.struct(F.lit(provider).alias("provider"), "authorization_status", F.col("metadata").alias("snapshot_metadata"))).alias("meta")).first()
+    said = {"provider": provider, "authorization_status": header.authorization_status, "snapshot_metadata": header.metadata}
+    meta = json.dumps({k: v for k, v in said.items() if v is not None}, separators=(",", ":"), ensure_ascii=False)
 
     def work(t: Tables) -> dict[str, int]:
-        return _merge_snapshot(t, incoming, library, library_path, snapshot_id, provider, iso(started_at), completed, totals, head)
+        return _merge_snapshot(t, incoming, library, library_path, snapshot_id, provider, iso(started_at), completed, totals, header.photos_version, meta)
 
     return CrawlResult(provider, snapshot_id, library, {**totals, **store.transact(work)}, store.path)
 
@@ -207,7 +226,7 @@ def _count(condition: str) -> Column:
     return F.coalesce(F.sum(F.expr(condition).cast("bigint")), F.lit(0))
 
 
-def _merge_snapshot(t: Tables, incoming: DataFrame, library: str, library_path: str, snapshot_id: str, provider: str, started: str, completed: str, totals: dict[str, int], head) -> dict[str, int]:
+def _merge_snapshot(t: Tables, incoming: DataFrame, library: str, library_path: str, snapshot_id: str, provider: str, started: str, completed: str, totals: dict[str, int], photos_version: str | None, meta_json: str) -> dict[str, int]:
     """Put new versions of the tables that a snapshot changes; its counters."""
     spark = incoming.sparkSession
     if not t["crawl_snapshot"].where(F.col("id") == snapshot_id).isEmpty():
@@ -263,7 +282,7 @@ def _merge_snapshot(t: Tables, incoming: DataFrame, library: str, library_path:
     counts = rows.agg(*[_count(f"delta = '{d}'").alias(f"assets_{d}") for d in DELTAS], _count("newly_deleted").alias("assets_deleted"), _count("restored").alias("assets_restored"), _count("classify").alias("queued_for_classify")).first().asDict()
     counts["queued_needs_download"] = queued.where("needs_download").count()
     counts["previously_seen_missing"] = missing(t.latest("crawl_seen_asset"), library, snapshot_id).count()
-    lib = spark.createDataFrame([(library, library_path, f"archive:crawl_snapshot/{snapshot_id}", completed, head.photos_version, head.meta)], t["source_library"].schema)
+    lib = spark.createDataFrame([(library, library_path, f"archive:crawl_snapshot/{snapshot_id}", completed, photos_version, meta_json)], t["source_library"].schema)
     t.put("source_library", merge(t["source_library"], lib, ("id",)))
     snap = spark.createDataFrame([(snapshot_id, library, started, completed, provider, totals["assets_seen"], totals["resources_seen"], totals["album_memberships_seen"], totals["locations_seen"])], t["crawl_snapshot"].schema)
     t.put("crawl_snapshot", t["crawl_snapshot"].union(snap))

@@ -22,6 +22,11 @@ UTI = {
 }
 IMAGES = ("jpg", "jpeg", "png", "heic", "heif", "gif", "tif", "tiff", "webp")
 PATH_CLASSES = ("derivative", "render", "original", "local_media")
+#: The columns of an asset in a snapshot, in order.
+ASSET_FIELDS = (
+    "local_identifier", "media_type", "media_subtypes", "creation_date", "modification_date", "added_date", "timezone_name", "width", "height", "duration_seconds", "favorite",
+    "hidden", "burst_identifier", "represents_burst", "deleted_at", "deletion_source", "deletion_reason", "location", "resources", "albums", "metadata",
+)
 
 
 class Provider(Protocol):
@@ -42,9 +47,15 @@ class TablesProvider:
 
     NAMES = ("ZASSET", "ZADDITIONALASSETATTRIBUTES", "ZINTERNALRESOURCE", "ZGENERICALBUM", "Z_33ASSETS")
 
+    def tables(self, spark: SparkSession, library_path: str) -> dict[str, DataFrame]:
+        return {n: spark.read.parquet(f"{library_path.rstrip('/')}/{n}") for n in self.NAMES}
+
     def snapshot(self, spark: SparkSession, library_path: str) -> DataFrame:
-        t = {n: spark.read.parquet(f"{library_path.rstrip('/')}/{n}") for n in self.NAMES}
-        return assemble(t, library_path)
+        return assemble(self.tables(spark, library_path), library_path)
+
+    def assets(self, spark: SparkSession, library_path: str) -> DataFrame:
+        """The same assets, one row each."""
+        return nested_assets(self.tables(spark, library_path))
 
 
 class FallbackProvider:
@@ -156,15 +167,19 @@ def library_albums(bridge: DataFrame, albums: DataFrame) -> DataFrame:
     return j.groupBy(F.col("Z_3ASSETS").alias("pk")).agg(ordered.alias("a")).select("pk", F.transform("a", lambda a: a["m"]).alias("albums"))
 
 
-def assemble(tables: dict[str, DataFrame], library_path: str) -> DataFrame:
-    """One snapshot row from library tables. For archives of any size use the three frames themselves."""
+def nested_assets(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per asset of library tables, as a snapshot lists them (schemas.SNAPSHOT_ASSET); ord is the asset's key."""
     a = library_assets(tables["ZASSET"], tables["ZADDITIONALASSETATTRIBUTES"])
     r = library_resources(tables["ZINTERNALRESOURCE"], tables["ZASSET"], tables["ZADDITIONALASSETATTRIBUTES"])
     m = library_albums(tables["Z_33ASSETS"], tables["ZGENERICALBUM"])
     nested = a.join(r, "pk", "left").join(m, "pk", "left")
-    names = [x.split(":")[0].strip() for x in ("local_identifier", "media_type", "media_subtypes", "creation_date", "modification_date", "added_date", "timezone_name", "width", "height", "duration_seconds", "favorite", "hidden", "burst_identifier", "represents_burst", "deleted_at", "deletion_source", "deletion_reason", "location", "resources", "albums", "metadata")]
     filled = nested.withColumn("resources", F.coalesce("resources", F.array())).withColumn("albums", F.coalesce("albums", F.array()))
-    rows = filled.agg(F.array_sort(F.collect_list(F.struct(*names))).alias("assets"))
+    return filled.select(F.col("pk").alias("ord"), *ASSET_FIELDS)
+
+
+def assemble(tables: dict[str, DataFrame], library_path: str) -> DataFrame:
+    """One snapshot row from library tables. It holds all assets: crawl takes nested_assets instead."""
+    rows = nested_assets(tables).agg(F.array_sort(F.collect_list(F.struct(*ASSET_FIELDS))).alias("assets"))
     return rows.select(F.lit(library_path).alias("library_path"), F.lit("tables").alias("provider"), F.lit("").alias("photos_version"), F.lit("").alias("authorization_status"), F.lit("{}").alias("metadata"), "assets")
 
 

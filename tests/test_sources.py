@@ -1,10 +1,13 @@
 """Snapshot sources, local media and upgrades, by small cases."""
 
 import json
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from assetlens.api import Archive
+from assetlens.operators.crawl import crawl
 from assetlens.schemas import SNAPSHOT_ASSET
 from assetlens.sources import library as L
 from assetlens.store import ArchiveError, Store
@@ -44,6 +47,18 @@ def test_library_tables_make_one_snapshot(spark, exported):
     assert (got[U2].location, got[U2].deletion_reason, got[U2].deleted_at) == (None, "trashed", "")
 
 
+def test_library_tables_are_crawled_asset_by_asset(spark, exported, tmp_path, monkeypatch):
+    """The same archive as from the one snapshot row, which isn't made."""
+    at, one, rows = datetime(2026, 6, 1, tzinfo=timezone.utc), Archive(spark, str(tmp_path / "one")), Archive(spark, str(tmp_path / "rows"))
+    want = crawl(one.store, L.TablesProvider().snapshot(spark, exported), exported, "tables", at, at)
+    monkeypatch.setattr(L, "assemble", None)
+    got = rows.crawl(exported, "tables", at)
+    assert got.counters == want.counters and got.counters["assets_new"] == 2
+    for name in ("asset", "asset_resource", "album_membership", "location_observation", "evidence_ref", "classification_queue"):
+        assert sorted(map(str, rows.store.table(name).collect())) == sorted(map(str, one.store.table(name).collect())), name
+    assert rows.store.table("source_library").first().metadata_json == one.store.table("source_library").first().metadata_json
+
+
 def test_the_second_provider_says_why_it_was_asked(spark, exported):
     snap = L.provider("auto").snapshot(spark, exported).first()
     assert len(snap.assets) == 2 and "primary_error" in json.loads(snap.metadata)
