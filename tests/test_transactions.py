@@ -51,7 +51,7 @@ def once(monkeypatch, module, name, meddle):
 
 def test_two_crawls_that_overlap_lose_nothing(take, monkeypatch):
     take([ONE], 0)
-    calls = once(monkeypatch, crawling, "_merge_snapshot", lambda: take([ONE, TWO], 1))
+    calls = once(monkeypatch, crawling, "_merge_snapshots", lambda: take([ONE, TWO], 1))
     got = take([ONE, THREE], 2)
     assert names(take.store) == ["one", "three", "two"] and len(calls) == 3  # its own try, the other crawl, its second try
     assert got.counters["previously_seen_missing"] == 1 and got.fields()["assets_new"] == 1
