@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scratch import written
-from .search import K1, LEAST_IDF, B, phrases, starts_of
+from .search import K1, LEAST_IDF, B, grouped_tokens, phrases, starts_of
 
 #: The text columns of documents.
 COLUMNS = ("title", "body")
@@ -94,10 +94,8 @@ class Index:
         segment = self._new()
         rows = written(t.select("id", "fp", "dl", "block", F.array_distinct(F.concat("_title", "_body")).alias("terms"), "_title", "_body"), "tokens")
         self._write(segment, "docs", rows.select("id", "fp", "dl", "block", "terms"), made)
-        each = reduce(DataFrame.unionByName, [rows.select("id", "dl", "block", F.posexplode(f"_{c}").alias("pos", "term")).withColumn("column", F.lit(c)) for c in COLUMNS])
-        none = F.array().cast("array<int>")
-        at = lambda c: F.coalesce(F.array_sort(F.collect_list(F.when(F.col("column") == c, F.col("pos")))), none).alias(c)
-        self._write_postings(segment, each.groupBy("term", "block", "id", "dl").agg(F.count("*").cast("int").alias("f"), *[at(c) for c in COLUMNS]), made)
+        held = rows.select("block", "id", "dl", F.col("_title").alias("title"), F.col("_body").alias("body"))
+        self._write_postings(segment, held.mapInArrow(grouped_tokens(["block", "id", "dl"], list(COLUMNS), "f"), PARTS["postings"]), made)
         dead = both.where("seq IS NOT NULL")
         self._write(segment, "dead", dead.select("seq", "id"), gone.n)
         self._write(segment, "dead_terms", dead.select("seq", F.explode("terms").alias("term")).groupBy("seq", "term").agg(F.count("*").alias("n")), gone.n)
