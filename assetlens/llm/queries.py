@@ -152,11 +152,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents that labels calls good and not toxic. Returns every document; selected marks the draw."""
+    from .common import among
     from .quality import resample
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id").distinct()
-    return resample(docs, docs.join(good, "doc_id", "left_semi"))
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return resample(docs, among(docs, good, "doc_id"))
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,19 @@ def test_odd_rows(spark):
     tied = resample(docs_of(spark, [(5, "a b"), (5, "a b"), (5, "a b"), (6, None)]), docs_of(spark, [(1, None)])).collect()
     assert sorted(r.rank for r in tied) == [1, 2, 3, 4] and sum(r.selected for r in tied) == 2
     assert resample(docs.where("false"), docs).count() == 0
+
+
+def test_target_is_joined_the_same_way_at_every_size(spark, monkeypatch):
+    """The target's texts are not shuffled all at one size and broadcast at another; few others are exchanged with them."""
+    from assetlens.llm import common, quality, queries
+
+    seen = {}
+    monkeypatch.setattr(quality, "resample", lambda docs, target: seen.update(target=target) or docs)
+    queries.op3_quality_resampling(spark, "/root/testdata/sf0.001")
+    plan = seen["target"]._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.find("SortMergeJoin") < plan.find("BroadcastHashJoin")  # exact join behind the bitmap, also for tiny labels
+    docs = spark.createDataFrame([(i if i % 10 else None, f"t{i}") for i in range(3000)], "doc_id long, text string")
+    keys = spark.createDataFrame([(i,) for i in [*range(0, 3000, 7), 7, 14, None]], "doc_id long")
+    got = sorted(r.text for r in common.among(docs, keys, "doc_id").collect())
+    assert got == sorted(f"t{i}" for i in range(3000) if i % 10 and i % 7 == 0)
+    assert common.among(docs, keys.where("false"), "doc_id").count() == 0
