@@ -36,8 +36,12 @@ SELECTORS = ((2, 60, 1), (3, 30, 2), (4, 20, 3), (5, 15, 4), (6, 12, 5), (7, 10,
 BLOCK_IDS = 1 << 16
 #: Words kept by a Python worker.
 CACHE = 1_500_000
+#: A byte between words that the tokenizer gets in one text, and how many those are.
+MARK, TOGETHER = b"\x01", 256
 #: Last bytes of words that surely end in a letter or digit: ASCII, and the letters of U+00C0 to U+00FF.
 ALNUM = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+#: All ASCII punctuation.
+MARKS = bytes(i for i in range(0x21, 0x7F) if i not in ALNUM)
 ACCENTED = {chr(i).encode() for i in range(0xC0, 0x100) if chr(i).isalpha()}
 
 BLOCKS = "shard int, block_start long, doc_ids array<long>, doc_lens array<int>, words binary, escape_at binary, escape_value binary"
@@ -65,8 +69,9 @@ def encode(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
         best[over[count : count + n] == over[:n]] = k
     steps = np.array([c for _, c, _ in SELECTORS])[best].tolist()
     at, i = [], 0
+    add = at.append
     while i < n:
-        at.append(i)
+        add(i)
         i += steps[i]
     at = np.array(at, np.int64)
     chosen = best[at]
@@ -110,8 +115,8 @@ BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "
 
 
 class WordIds:
-    """Ids of words by word. Words of up to 16 bytes are kept in arrays in order of their hash: the bytes themselves,
-    and where in `pool` their ids stand. A word is known only if its bytes agree."""
+    """Ids of words by word. Words of up to 16 bytes are kept in arrays: the bytes themselves, and where in `pool` their ids
+    stand. `hash` is in order, `place` is where in the arrays its words are. A word is known only if its bytes agree."""
 
     def __init__(self, tokenizer_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
@@ -123,10 +128,13 @@ class WordIds:
         splits = made["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
         #: Whether words can be encoded alone; texts are encoded whole by any other tokenizer.
         self.by_word = made["normalizer"] == NORMALIZER and splits and made["post_processor"] is None and not any(t.split() != [t] or not t.startswith("<|") for t in added)
+        mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        #: The id of the mark, if words can be parted by it.
+        self.mark = mark[0] if self.by_word and len(mark) == 1 else None
         self.forget()
 
     def forget(self) -> None:
-        self.hash, self.low, self.high, self.size, self.begin, self.count = (np.zeros(0, k) for k in ("u8", "u8", "u8", "i8", "i8", "i8"))
+        self.hash, self.place, self.low, self.high, self.size, self.begin, self.count = (np.zeros(0, k) for k in ("u8", "i8", "u8", "u8", "i8", "i8", "i8"))
         self.pool = np.zeros(0, "<u4")
 
     def find(self, words: Words, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +142,9 @@ class WordIds:
         h = words.hash[some]
         if not len(self.hash):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        same = (self.hash[at] == h) & (self.size[at] == words.end[some] - words.start[some])
+        near = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        at = self.place[near]
+        same = (self.hash[near] == h) & (self.size[at] == words.end[some] - words.start[some])
         return at, same & (self.low[at] == words.eights(some, 0)) & (self.high[at] == words.eights(some, 8))
 
     def keep(self, words: Words, some: np.ndarray, ids: list[bytes]) -> None:
@@ -148,10 +157,33 @@ class WordIds:
         count = np.fromiter((len(ids[i]) // 4 for i in mine), np.int64, len(mine))
         begin = len(self.pool) + np.cumsum(count) - count
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids[i] for i in mine), "<u4")])
-        new = words.hash[some], words.eights(some, 0), words.eights(some, 8), size[mine], begin, count
-        both = [np.concatenate(x) for x in zip((self.hash, self.low, self.high, self.size, self.begin, self.count), new, strict=True)]
-        order = np.argsort(both[0], kind="stable")
-        self.hash, self.low, self.high, self.size, self.begin, self.count = (x[order] for x in both)
+        new = words.eights(some, 0), words.eights(some, 8), size[mine], begin, count
+        place = len(self.low) + np.arange(len(mine))
+        self.low, self.high, self.size, self.begin, self.count = (np.concatenate(x) for x in zip((self.low, self.high, self.size, self.begin, self.count), new, strict=True))
+        order = np.argsort(words.hash[some], kind="stable")
+        h = words.hash[some][order]
+        at = np.searchsorted(self.hash, h)
+        self.hash, self.place = np.insert(self.hash, at, h), np.insert(self.place, at, place[order])
+
+    def tokenized(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of words by the tokenizer: many in one text, parted by a mark that none of them has and that has one id."""
+        out: list[bytes] = [b""] * len(parts)
+        if self.mark is None:
+            alone, joined = range(len(parts)), []
+        else:
+            alone, joined = [i for i, x in enumerate(parts) if MARK in x], [i for i, x in enumerate(parts) if MARK not in x]
+        groups = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)]
+        found = self.tokenizer.encode_batch_fast([(b" " + MARK + b" ").join([parts[i] for i in g]).decode() for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, found, strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            begin, data = 0, ids.tobytes()
+            for i, end in zip(group, ends, strict=True):
+                out[i] = data[4 * begin : 4 * end]
+                begin = end + 1
+        for i, e in zip(alone, self.tokenizer.encode_batch_fast([parts[i].decode() for i in alone], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return out
 
     def encoded_alone(self, parts: list[bytes]) -> list[bytes]:
         """Ids of different words: known ones, and by the tokenizer."""
@@ -164,8 +196,8 @@ class WordIds:
         for i, a, b in zip(every[known].tolist(), begin.tolist(), end.tolist(), strict=True):
             out[i] = self.pool[a:b].tobytes()
         new = every[~known]
-        for i, e in zip(new.tolist(), self.tokenizer.encode_batch_fast([parts[i].decode() for i in new], add_special_tokens=False), strict=True):
-            out[i] = array("I", e.ids).tobytes()
+        for i, ids in zip(new.tolist(), self.tokenized([parts[i] for i in new]), strict=True):
+            out[i] = ids
         self.keep(words, new, [out[i] for i in new])
         return out
 
@@ -173,13 +205,14 @@ class WordIds:
         """Ids of different words that are not known. Punctuation after a letter or digit is a piece of its own, so such
         words are put together from two."""
         alone: dict[bytes, int] = {}
+        number = alone.setdefault
         made = []
         for w in some:
-            core = w.rstrip(b".,!?;:|")
-            if len(core) != len(w) and core and (core[-1] in ALNUM or core[-2:] in ACCENTED):
-                made.append((alone.setdefault(core, len(alone)), alone.setdefault(w[len(core) :], len(alone))))
+            core = w.rstrip(MARKS)
+            if len(core) != len(w) and core and (core[-1] in ALNUM or core[-2:] in ACCENTED) and b"<|" not in w:
+                made.append((number(core, len(alone)), number(w[len(core) :], len(alone))))
             else:
-                made.append((alone.setdefault(w, len(alone)), -1))
+                made.append((number(w, len(alone)), -1))
         ids = [*self.encoded_alone(list(alone)), b""]
         return [ids[a] + ids[b] for a, b in made]
 
@@ -210,9 +243,6 @@ class WordIds:
         at, known = self.find(words, first)
         new = first[~known]
         ids = self.learn([words.data[a:b] for a, b in zip(words.start[new].tolist(), words.end[new].tolist(), strict=True)])
-        if len(new):  # learn() has moved what was known
-            at, still = self.find(words, first)
-            known &= still
         sizes = np.zeros(len(first), np.int64)
         sizes[known] = self.count[at[known]]
         sizes[~known] = [len(x) // 4 for x in ids]

@@ -95,3 +95,27 @@ def test_other_tokenizers_encode_whole_texts(tmp_path):
     known = WordIds(path)
     ids, n = known.encode_texts(["Hello  World", None], 2)
     assert not known.by_word and n.tolist()[1] == 1 and ids.tolist() == [*made.encode("Hello  World", add_special_tokens=False).ids, 2, 2]
+
+
+def test_new_words_are_tokenized_together_and_without_their_marks():
+    """Words go to the tokenizer many in one text, and those that differ by punctuation behind them once, with the library's ids."""
+    from tokenizers import Tokenizer
+
+    from assetlens.llm.simple8b import WordIds
+
+    t, known, asked = Tokenizer.from_file(PATH), WordIds(PATH), []
+    real = known.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            asked.extend(texts)
+            return real.encode_batch_fast(texts, **kw)
+
+    known.tokenizer = Counted()
+    tails = ["", "###", "$$$", "***", "%%%", "&&&", "'", "_~`^", ".)]}", "\"'", "|>"]
+    texts = ["".join(f"wörd{'abcdefg'[i]}ü{x} {i}{x} don't{x} " for x in tails) for i in range(7)]
+    texts += ["a\x01b \x01 c\x01 \x01\x01", "x<|endoftext|>### <|endoftext|>$ <|", "\u0301a e\u0301* \x01\u0301", "s' 's 't' x's# \x7f z\x7f"]
+    ids, lens = known.encode_texts(texts, 2)
+    want = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert lens.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert len(asked) < 12 and sum(x.count("wörda") for x in asked) == 1
