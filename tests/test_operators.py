@@ -82,3 +82,20 @@ def test_place_card(spark):
     ]
     empty = one(spark, place_card.render(F.from_json(F.lit('{"radius_meters": 150}'), place_card.RESULT)))[0]
     assert empty == "## Place Context\n\nAddress: unavailable\n\nNearby POIs:\n- No named nearby POIs within 150m"
+
+
+def test_bundles_hold_only_what_is_asked_for(spark):
+    from assetlens.operators import detail
+    from assetlens.plans.queries import Tables
+    from assetlens.sources.views import Views
+
+    b = detail.bundles(Tables(Views(spark, "/root/testdata/sf0.001")), only={"evidence_ref": ("id",)})
+    assert set(b.schema["evidence_ref"].dataType.elementType.fieldNames()) == {"evidence_kind", "id"}
+    assert "uti" in b.schema["asset_resource"].dataType.elementType.fieldNames()
+
+
+def test_the_keyword_text_is_put_together_once(spark):
+    from assetlens.sources.views import Views
+
+    plan = Views(spark, "/root/testdata/sf0.001").visual_observation()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(concat_ws(") == 1
