@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assetlens.operators import meeting
 from assetlens.operators import neighbors as N
 from assetlens.operators import range_join
 from assetlens.plans.queries import REGISTRY
@@ -78,3 +80,32 @@ def test_no_other_kind_is_computed(spark, monkeypatch, name):
     monkeypatch.setattr(N, "written", refused)
     monkeypatch.setattr(range_join, "written", refused)
     assert REGISTRY[name][0](spark, SF).limit(1).count() == 1
+
+
+@pytest.mark.parametrize("seed,n,most", [(6, 150, 2), (7, 60, 20)])
+def test_the_best_are_chosen_in_blocks_without_rows_of_pairs(spark, monkeypatch, seed, n, most):
+    """Many small blocks, crowded instants, confidences that may be null; no pairs are ranked, nor brought to their source."""
+    for of, name, value in ((meeting, "BLOCK", 16), (meeting, "LEAST", 4), (range_join, "BLOCK", 8)):
+        monkeypatch.setattr(of, name, value)
+    t = tables(spark, seed, n)
+    t["visual_observation"] = t["visual_observation"].withColumn("confidence", F.when(F.col("label") != "o5", F.col("confidence")))
+    t["album_membership"] = t["album_membership"].withColumn("album_title", F.concat("album_title", F.substring("asset_id", 4, 1)))
+    got = N.neighbors(t, most)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(source_id" not in plan and "RepartitionByExpression [source_id" not in plan
+    w = W.partitionBy("source_id").orderBy(F.desc("score"), F.desc("n_reasons"), "creation_date", "target_id")
+    best = N.score(direct(t, most)).withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= most)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(got) == rows(best.select(got.columns))
+
+
+def test_assets_alone_have_neighbors_in_time(spark):
+    t = tables(spark, 8, 12)
+    t = {"asset": t["asset"], **{k: v.where("false") for k, v in t.items() if k != "asset"}}
+    t["asset"] = t["asset"].withColumn("burst_identifier", F.lit(""))
+    assert {r.reasons[0]["type"] for r in N.neighbors(t, 3).collect()} == {"nearby_time"}
+    assert N.neighbors(t | {"asset": t["asset"].where("false")}, 3).count() == 0
+
+
+def test_scores_are_rounded_as_decimals():
+    assert meeting._round(np.array([0.1 + 0.2, 0.4500000005, 0.75, 1.0])).tolist() == [300000000, 450000001, 750000000, 10**9]
