@@ -20,6 +20,7 @@ from functools import reduce
 from math import log
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -76,27 +77,28 @@ class Index:
         """Make the documents `ids` (id; None: all) be as docs (id, title, body) has them: those that docs lacks are deleted.
         Returns how many were tokenized: only new documents and those whose text has changed."""
         new = docs.select("id", *COLUMNS, F.sha2(F.to_json(F.array(*COLUMNS)), 256).alias("fp"))
-        have = self.alive(self.part("docs"))
-        have = have if ids is None else have.join(ids.select("id").distinct(), "id", "left_semi")
-        old = have.select("id", "seq", "dl", "terms", F.col("fp").alias("was"))
-        both = written(new.join(old, "id", "full_outer").where("fp IS NULL OR was IS NULL OR fp <> was"), "documents")
-        fresh = both.where("fp IS NOT NULL")
-        made, gone = fresh.count(), both.where("seq IS NOT NULL").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
+        if self.segments:
+            have = self.alive(self.part("docs"))
+            have = have if ids is None else have.join(ids.select("id").distinct(), "id", "left_semi")
+            old = have.select("id", "seq", "dl", "terms", F.col("fp").alias("was"))
+            both = written(new.join(old, "id", "full_outer").where("fp IS NULL OR was IS NULL OR fp <> was"), "documents")
+            fresh, dead = both.where("fp IS NOT NULL"), both.where("seq IS NOT NULL").select("seq", "id", "dl", "terms")
+        else:  # all are new: texts are neither joined nor written again
+            fresh, dead = new, self.store.spark.createDataFrame([], "seq bigint, id string, dl bigint, terms array<string>")
+        tokens = [T.search_tokens(F.col(c)).alias(f"_{c}") for c in COLUMNS]
+        rows = written(fresh.select("id", "fp", *tokens), "tokens").withColumn("dl", (F.size("_title") + F.size("_body")).cast("bigint"))
+        made, gone = rows.count(), dead.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
         if not made and not gone.n:
             if not self.exists:
                 self.tables.put_segments(self.name, [])
             return 0
-        tokens = {c: T.search_tokens(F.col(c)) for c in COLUMNS}
         spread = max(1, made // (BLOCK * 8))
-        t = fresh.select("id", "fp", *[v.alias(f"_{c}") for c, v in tokens.items()]).withColumn("dl", (F.size("_title") + F.size("_body")).cast("bigint"))
         block = F.floor(F.log2(F.col("dl") + 1) * 4).cast("int") * spread + F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")
-        t = t.withColumn("block", block)
+        rows = rows.withColumn("block", block)
         segment = self._new()
-        rows = written(t.select("id", "fp", "dl", "block", F.array_distinct(F.concat("_title", "_body")).alias("terms"), "_title", "_body"), "tokens")
-        self._write(segment, "docs", rows.select("id", "fp", "dl", "block", "terms"), made)
+        self._write(segment, "docs", rows.select("id", "fp", "dl", "block", F.array_distinct(F.concat("_title", "_body")).alias("terms")), made)
         held = rows.select("block", "id", "dl", F.col("_title").alias("title"), F.col("_body").alias("body"))
         self._write_postings(segment, held.mapInArrow(grouped_tokens(["block", "id", "dl"], list(COLUMNS), "f"), PARTS["postings"]), made)
-        dead = both.where("seq IS NOT NULL")
         self._write(segment, "dead", dead.select("seq", "id"), gone.n)
         self._write(segment, "dead_terms", dead.select("seq", F.explode("terms").alias("term")).groupBy("seq", "term").agg(F.count("*").alias("n")), gone.n)
         added = rows.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first().t
@@ -113,11 +115,16 @@ class Index:
         df.coalesce(max(1, documents // FILE)).write.parquet(self._path(segment, part))
 
     def _write_postings(self, segment: dict, rows: DataFrame, documents: int) -> None:
+        """Blocks are kept with the first posting of each while the postings are in order, and read from there."""
         files = max(1, documents // FILE)
-        rows.repartitionByRange(files, "term", "block", "id").sortWithinPartitions("term", "block", "id").write.parquet(self._path(segment, "postings"))
-        stored = self.store.spark.read.schema(PARTS["postings"]).parquet(self._path(segment, "postings"))
-        blocks = stored.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("f").alias("most"), F.min("dl").alias("least"))
-        blocks.repartitionByRange(files, "term", "block").sortWithinPartitions("term", "block").write.parquet(self._path(segment, "blocks"))
+        ordered = rows.repartitionByRange(files, "term", "block").sortWithinPartitions("term", "block", "id")
+        one = W.partitionBy("term", "block").orderBy("id")
+        whole = one.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        of = {"n": F.count("*").over(whole), "most": F.max("f").over(whole), "least": F.min("dl").over(whole)}
+        known = ordered.withColumns({"_first": F.row_number().over(one) == 1, **of}).withColumns({c: F.when(F.col("_first"), F.col(c)) for c in of})
+        known.drop("_first").write.parquet(self._path(segment, "postings"))
+        stored = self.store.spark.read.schema(PARTS["blocks"]).parquet(self._path(segment, "postings"))
+        self._write(segment, "blocks", stored.where("n IS NOT NULL"), documents)
 
     def _merge(self) -> None:
         """While the segment before the last ones is not RATIO as large, they become one: the largest such run at once."""

@@ -88,3 +88,22 @@ def test_the_archive_keeps_its_indexes(spark, tmp_path, monkeypatch):
     archive.classify(None)
     same()
     assert made[3] == ("asset_documents", 1) and 0 < made[4][1] < made[1][1]
+
+
+def test_a_first_index_joins_and_writes_no_texts(spark, tmp_path, monkeypatch):
+    """Nothing is compared with an index that isn't there; blocks are those of the postings, without another exchange."""
+    names = []
+    real = ix.written
+    monkeypatch.setattr(ix, "written", lambda df, name: names.append(name) or real(df, name))
+    monkeypatch.setattr(ix, "BLOCK", 1)
+    store = Store(spark, str(tmp_path / "a"))
+    store.init()
+    rng = random.Random(3)
+    docs = frame(spark, {f"d{i}": (rng.choice(WORDS), " ".join(rng.choices(WORDS, k=rng.choice([0, 5, 40])))) for i in range(90)} | {"none": (None, None)})
+    t = store.tables()
+    index = Index(t, "asset_documents")
+    assert index.update(None, docs) == 91 and names == ["tokens"]
+    got = sorted(map(str, index.part("blocks").collect()))
+    want = index.part("postings").groupBy("term", "block", "seq").agg(F.count("*").alias("n"), F.max("f").alias("most"), F.min("dl").alias("least"))
+    assert len(got) > 100 and got == sorted(map(str, want.select(index.part("blocks").columns).collect()))
+    assert index.update(None, docs) == 0 and names == ["tokens", "documents", "tokens"]
