@@ -99,3 +99,25 @@ def test_the_keyword_text_is_put_together_once(spark):
 
     plan = Views(spark, "/root/testdata/sf0.001").visual_observation()._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(concat_ws(") == 1
+
+
+def test_evidence_rows_are_exchanged_once(spark):
+    """Of an asset, of itself, and of what refers to it: each row once, whoever asks."""
+    from assetlens.operators import detail
+
+    rng = random.Random(4)
+    refs = [(f"e{i}", rng.choice(["a1", "a2", f"e{i}"]), "k", "s", f"p{i}", "{}") for i in range(12)] + [("e90", None, "k", "s", "p", "{}")]
+    named = [(rng.choice(["l1", "l2", "a1", "e3", None]), rng.choice(["e1", "e2", "e3", "e90", "gone", None])) for _ in range(40)]
+    t = {n: spark.createDataFrame(named if n in ("location_observation", "edge") else [], "id string, evidence_id string") for n in detail.EVIDENCED}
+    t["evidence_ref"] = spark.createDataFrame(refs, "id string, asset_id string, evidence_kind string, source string, pointer string, value_json string")
+    want = {(r[1], r[0]) for r in refs if r[1]} | {(r[0], r[0]) for r in refs} | {(x, e) for x, e in named if x and e and e != "gone"}
+    key = lambda df: sorted((r.row_id, r.id) for r in df.collect())
+    ids = spark.createDataFrame([("a1",), ("e3",), ("l1",), ("l1",), ("none",)], "row_id string")
+    assert key(detail.evidence(t)) == sorted(want)
+    assert key(detail.evidence(t, of=("edge",))) == sorted(want) and key(detail.evidence(t, of=("face_observation",))) == sorted({w for w in want if w[0] in (w[1], "a1", "a2") and w in {(r[1], r[0]) for r in refs} | {(r[0], r[0]) for r in refs}})
+    assert key(detail.evidence(t, ids)) == sorted(w for w in want if w[0] in ("a1", "e3", "l1"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert detail.evidence(t)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
