@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.among import among  # noqa: F401
 from ..functions.scratch import delete, scratch
 
 #: ASCII white space, as the bytes that separate words.
@@ -18,8 +19,6 @@ WHITE = bytes([0x20, *range(0x09, 0x0E)])
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), np.uint64(0xA24BAED4963EE407)
 #: The low 0 to 8 bytes of a number.
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-#: Rows of a bitmap, and the bits of each (those of bitmap_construct_agg).
-SLOTS, SLOT_BITS = 1024, 1 << 15
 #: Bytes from which a word is hashed alone, by BLAKE2b.
 LONG_WORD = 64
 
@@ -84,22 +83,6 @@ def with_row_number(docs: DataFrame) -> tuple[DataFrame, str]:
     return store(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
-def among(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows of docs whose key is among keys (a column of that name; nulls are not).
-
-    A bitmap of hashes, 4 MB at most, tells first which rows may be, so that texts of few others are exchanged. The join
-    behind it is exact, and of one form at every size: its shuffle grows in proportion to the rows. It is no semi-join, as
-    Spark would move that below the bitmap.
-    """
-    at = F.xxhash64(key)
-    slot, bit = F.pmod(at, F.lit(SLOTS)).cast("int"), F.pmod(F.shiftrightunsigned(at, 32), F.lit(SLOT_BITS))
-    held = keys.where(F.col(key).isNotNull()).select(slot.alias("_slot"), bit.alias("_bit"))
-    held = held.groupBy("_slot").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    maybe = docs.withColumn("_slot", slot).join(F.broadcast(held), "_slot").where(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0)
-    return maybe.select(*[F.col(f"`{c}`") for c in docs.columns]).join(keys.select(key).distinct().hint("merge"), key)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """A column name like `name` that df doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.among import among
 from ..functions.scratch import written
 from .search import K1, LEAST_IDF, B, grouped_tokens, phrases, starts_of
 
@@ -78,8 +79,7 @@ class Index:
         Returns how many were tokenized: only new documents and those whose text has changed."""
         new = docs.select("id", *COLUMNS, F.sha2(F.to_json(F.array(*COLUMNS)), 256).alias("fp"))
         if self.segments:
-            have = self.alive(self.part("docs"))
-            have = have if ids is None else have.join(ids.select("id").distinct(), "id", "left_semi")
+            have = self.alive(self.part("docs") if ids is None else among(self.part("docs"), ids, "id"))
             old = have.select("id", "seq", "dl", "terms", F.col("fp").alias("was"))
             both = written(new.join(old, "id", "full_outer").where("fp IS NULL OR was IS NULL OR fp <> was"), "documents")
             fresh, dead = both.where("fp IS NOT NULL"), both.where("seq IS NOT NULL").select("seq", "id", "dl", "terms")

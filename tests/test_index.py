@@ -107,3 +107,19 @@ def test_a_first_index_joins_and_writes_no_texts(spark, tmp_path, monkeypatch):
     want = index.part("postings").groupBy("term", "block", "seq").agg(F.count("*").alias("n"), F.max("f").alias("most"), F.min("dl").alias("least"))
     assert len(got) > 100 and got == sorted(map(str, want.select(index.part("blocks").columns).collect()))
     assert index.update(None, docs) == 0 and names == ["tokens", "documents", "tokens"]
+
+
+def test_an_update_compares_only_the_documents_it_names(spark, tmp_path, monkeypatch):
+    """Others are left where they are by a bitmap, with their terms, and not exchanged."""
+    seen = []
+    real = ix.written
+    monkeypatch.setattr(ix, "written", lambda df, name: seen.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or real(df, name))
+    store = Store(spark, str(tmp_path / "a"))
+    store.init()
+    docs = frame(spark, {f"d{i}": ("menu", f"beach x{i}") for i in range(40)})
+    t = store.tables()
+    index = Index(t, "asset_documents")
+    index.update(None, docs)
+    some = docs.where("id IN ('d1', 'd2')")
+    assert index.update(some, some.withColumn("body", F.lit("blue"))) == 2
+    assert "bitmap_construct_agg" in dict(seen)["documents"] and index.documents == 40
